@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-NAMES = ["tokens"]
+NAMES = ["splitting", "tokens"]
 
 
 def modules() -> list:
