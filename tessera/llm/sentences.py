@@ -21,12 +21,14 @@ from tessera.sources.tables import table
 SEP, DOT, ASK, CRY = "", "", "", ""
 #: Abbreviations that never end a sentence (their last mark is masked wherever they stand).
 NEVER = (
-    "e.g i.e vs viz cf approx resp esp fig figs sec secs eq eqs rev ch vol pp dr mr mrs ms prof st messrs gen sgt col capt "
-    "nr abb abschn kap tab bzw ca vgl evtl ggf inkl exkl sog zzgl bspw hr fr str bd "
-    "env ex mme mlle art pág págs núm aprox sr sra srta dra ej "
+    "e.g i.e vs viz cf approx resp esp fig figs sec secs eq eqs rev vol pp "
+    "nr abb abschn kap tab bzw ca vgl evtl ggf inkl exkl sog zzgl bspw "
+    "env ex art pág págs núm aprox ej "
     "рис см ок табл гл стр напр ср им ул "
     "π.χ βλ σχ σελ αρ δηλ πίν κεφ"
 ).split()
+#: Titles before a name, capitalized.
+TITLES = "Dr Mr Mrs Ms Prof St Messrs Gen Sgt Col Capt Hr Fr Mme Mlle Sr Sra Srta Dra M MM".split()
 #: Abbreviations of several words with spaces inside.
 SPACED = ["z. b", "d. h", "u. a", "o. ä", "u. u", "i. d. r", "s. o", "s. u", "p. ex", "p. ej", "c. à. d", "т. е", "т. к", "т. н", "ee. uu"]
 #: Abbreviations only before a number.
@@ -37,7 +39,7 @@ CLOSE = "[\"'”“»’›)\\]}」』）】》〉`*_]"
 CLOSERS = f"(?:[ \\u00a0\\u202f]»|{CLOSE})*"
 ENDS = ".!?…؟।॥。！？｡;"
 NAME = f"\\p{{Ll}}[\\p{{L}}\\p{{N}}_]*(?:[(_{DOT}]|\\p{{Lu}})[\\p{{L}}\\p{{N}}_)]"
-NEXT = f"(?:[\\p{{Lu}}\\p{{Lt}}\\p{{Lo}}\\p{{N}}¿¡«“„\"‘'‚(（「『《\\[`]|https?:|[{DOT}]{{1,2}}/|{NAME})"
+NEXT = f"(?:\\p{{Ll}}+\\s+[\\p{{Lo}}]|[\\p{{Lu}}\\p{{Lt}}\\p{{Lo}}\\p{{N}}¿¡«“„\"‘'‚(（「『《\\[`]|https?:|[{DOT}]{{1,2}}/|{NAME})"
 FENCE = r"(?m)^[^\S\n]*(```|~~~)[^\n]*\n(?s:.*?)(?:^[^\S\n]*\1[`~]*[^\S\n]*$|\z)"
 HEADING = r"(?m)^([^\S\n]*#{1,6}[^\S\n][^\n]*)$"
 BULLET = r"(?m)^([^\S\n]*[-*+•‣◦][^\S\n]+[^\n]*)$"
@@ -66,7 +68,7 @@ def masked(text: Column) -> Column:
         (r"(?U)(?<![\p{L}\p{N}_])((?i:" + escaped(NUMBERED) + r"))\.(?=[\s ]*\p{N})", "$1" + DOT),
         (r"(?U)(?<![\p{L}\p{N}_])([zZdDuUoOpPтТ])\.(?=[\s ]?(?:B|h|a|Ä|U|ex|ej|е|к|н|д|п)[." + DOT + "])", "$1" + DOT),
         (r"(?U)(?<![\p{L}\p{N}_])(EE)\.(?=[\s ]UU)", "$1" + DOT),
-        (r"(?U)(?<![\p{L}\p{N}_])(M|MM)\.(?=[\s ]\p{Lu})", "$1" + DOT),
+        (r"(?U)(?<![\p{L}\p{N}_])(" + "|".join(TITLES) + r")\.(?=\s+\p{Lu})", "$1" + DOT),
         (r"(?U)(?<![\p{L}\p{N}_" + DOT + r"])([A-HJ-ZА-ЯΑ-Ω])\.(?=[\s ]?\p{Lu}(?:\p{Ll}|[." + DOT + "]))", "$1" + DOT),  # initials
         (r"(?U)(?<![\p{L}\p{N}_])((?i:" + "|".join(ORDINAL) + r")[\s ]+\p{N}{1,2})\.(?=[\s ]+\p{Lu})", "$1" + DOT),
         (r"(?U)\.\.\.(?=[\s ]+\p{Ll})", DOT * 3),
@@ -98,11 +100,13 @@ def pieces(block: Column) -> Column:
         # marks of scripts without spaces; quotes there end a sentence only where a colon led to them
         (r"([：:][“「『《\"][^”」』》\"" + SEP + r"]{0,2000}[。！？!?｡][”」』》\"])(?=[^\s と라이가는를를を、，。,.!?！？）」』”])", "$1" + SEP),
         (r"([。！？｡।॥]+)(?=[^\s。！？｡।॥" + CLOSE[1:-1] + SEP + "])", "$1" + SEP),
+        (r"([。！？｡]+)(?=[“‘])", "$1" + SEP),
         (r"(?U)(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])([!?]+)(?=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])", "$1" + SEP),
         (r"(?U)([。！？｡।॥]+" + CLOSERS + r")(?=[\s]+\S)", "$1" + SEP),
         # marks before a space; Greek asks with a semicolon
         (r"(?U)((?:[" + ENDS + "]+" + CLOSERS + r")+)(?=\s+" + NEXT + ")", "$1" + SEP),
         (r"(?U)((?<=\p{IsGreek}[»\"”)]?);" + CLOSERS + r")(?=\s+" + NEXT + ")", "$1" + SEP),
+        (r"(?U)(?<=[\p{Lo}\p{M}])([.!?؟]+)(?=\s+\S)", "$1" + SEP),
         # adjoining sentences without a space
         (r"(?U)(?<=[\p{Ll}\p{N})])([.!?؟]+)(?=\p{Lu}\p{Ll}*[\s,])", "$1" + SEP),
         # Thai
