@@ -5,7 +5,7 @@
 2. A separator is put around fenced code blocks, headings and list items and at blank lines; the blocks become rows.
 3. In running text a separator is put behind the end marks of each script, with the closing quotes and brackets
    behind them, where what follows can begin a sentence.
-4. Lengths of the pieces give positions; the unit's text is then cut from the text itself, so nothing needs translating back.
+4. Lengths of the pieces give positions; the unit's text is then restored from its placeholders.
 
 Defined results: null, empty and blank texts have no units; a unit has no white space around it; positions count code
 points; repeated rows give repeated units. Private-use characters of a text are treated as letters.
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from tessera.sources.tables import table
 
-SEP, DOT, ASK, CRY = "", "", "", ""
+SEP, DOT, ASK = "\ue001", "\ue010", "\ue011"
+D = f"[.{DOT}]"
 #: Abbreviations that never end a sentence (their last mark is masked wherever they stand).
 NEVER = (
     "e.g i.e vs viz cf approx resp esp fig figs sec secs eq eqs rev vol pp "
@@ -37,7 +38,7 @@ NUMBERED = "no nos p pp n art § num seite s г п".split()
 ORDINAL = "dem der den des das die im am zum vom beim ab bis jeder jedem jeden".split()
 CLOSE = "[\"'”“»’›)\\]}」』）】》〉`*_]"
 CLOSERS = f"(?:[ \\u00a0\\u202f]»|{CLOSE})*"
-ENDS = ".!?…؟।॥。！？｡;"
+ENDS = ".!?…؟।॥。！？｡\u037e"
 NAME = f"\\p{{Ll}}[\\p{{L}}\\p{{N}}_]*(?:[(_{DOT}]|\\p{{Lu}})[\\p{{L}}\\p{{N}}_)]"
 NEXT = f"(?:\\p{{Ll}}+\\s+[\\p{{Lo}}]|[\\p{{Lu}}\\p{{Lt}}\\p{{Lo}}\\p{{N}}¿¡«“„\"‘'‚(（「『《\\[`]|https?:|[{DOT}]{{1,2}}/|{NAME})"
 FENCE = r"(?m)^[^\S\n]*(```|~~~)[^\n]*\n(?s:.*?)(?:^[^\S\n]*\1[`~]*[^\S\n]*$|\z)"
@@ -46,34 +47,41 @@ BULLET = r"(?m)^([^\S\n]*[-*+•‣◦][^\S\n]+[^\n]*)$"
 NUMBER = r"(?m)^([^\S\n]*\d{1,9}[.)][^\S\n]+[^\n]*)$"
 
 
-def escaped(words: list[str]) -> str:
-    inner = [w.replace(".", f"[.{DOT}]").replace(" ", r"[\s ]?") for w in sorted(words, key=len, reverse=True)]
-    return "|".join(inner)
+def either(words: list[str]) -> str:
+    return "|".join(w.replace(".", D).replace(" ", r"[\s\u00a0]?") for w in sorted(words, key=len, reverse=True))
 
 
 def masked(text: Column) -> Column:
-    """``text`` with placeholders for the marks that end nothing; same length."""
-    steps = [
-        ("[-]", "x"),
+    """``text`` with placeholders for the marks that end nothing; same length.
+
+    Every pattern begins with the mark itself, so that a text is scanned at the speed of a search for one character.
+    """
+    start = r"(?:^|[^\p{L}\p{N}_])"
+    inner = [
+        r"(?=[/\\_\p{N}])",  # decimals, versions, paths
+        r"(?=\.?[/\\])",
+        r"(?=[\p{Ll}_])(?<=[\p{IsLatin}\p{N}_)\]]\.)",  # identifiers, file names, domains
+        r"(?=\p{L}\.)(?<=(?:^|[^\p{L}\p{N}])\p{L}\.)",  # U.S., a.m., π.χ.
+        r"(?=\p{Lu}[\p{L}\p{N}_]*[(.])(?<=[\p{L}\p{N}_]\.)",  # pkg.Name(
+    ]
+    other = [
+        rf"(?<={start}(?iu:" + either(NEVER + SPACED) + r")\.)",
+        rf"(?=\s*\p{{N}})(?<={start}(?iu:" + either(NUMBERED) + r")\.)",
+        rf"(?=[\s\u00a0]?(?:B|h|a|Ä|U|ex|ej|е|к|н|д|п){D})(?<={start}[zZdDuUoOpPтТ]\.)",
+        rf"(?=[\s\u00a0]UU)(?<={start}EE\.)",
+        rf"(?=\s+\p{{Lu}})(?<={start}(?:" + "|".join(TITLES) + r")\.)",
+        rf"(?=[\s\u00a0]?\p{{Lu}}(?:\p{{Ll}}|{D}))(?<=(?:^|[^\p{{L}}\p{{N}}_{DOT}])[A-HJ-ZА-ЯΑ-Ω]\.)",  # initials
+        rf"(?=\s+\p{{Lu}})(?<={start}(?iu:" + "|".join(ORDINAL) + r")[\s\u00a0]\p{N}{1,2}\.)",
+        rf"(?=\s+[\p{{Ll}}\p{{N}}])(?<=[{DOT}]\p{{L}}\.)",
+    ]
+    for pattern, by in [
+        ("[\ue000-\ue0ff]", "x"),
         (r"\r(?!\n)", "\n"),
-        (r"\.(?=[/\\_\p{N}])", DOT),  # decimals, versions, paths
-        (r"\.(?=\.[" + DOT + r"]?[/\\])", DOT),
-        (r"(?U)(?<=[\p{IsLatin}\p{N}_)\]" + DOT + r"])\.(?=[\p{Ll}_])", DOT),  # identifiers, file names, domains
-        (r"(?U)(?<![\p{L}\p{N}])(\p{L})\.(?=\p{L}[." + DOT + "])", "$1" + DOT),  # U.S., a.m., π.χ.
-        (r"(?U)(?<=[" + DOT + r"]\p{L})\.(?=\p{L}[.])", DOT),
-        (r"(?U)(?<=[" + DOT + r"]\p{L}{1,3})\.(?=[\s ]+[\p{Ll}\p{N}])", DOT),
-        (r"(?U)(?<=\p{L}[\p{L}\p{N}_]{0,60})\.(?=\p{Lu}[\p{L}\p{N}_]*[(." + DOT + "])", DOT),  # pkg.Name(
+        (r"(?U)\.(?:" + "|".join(inner) + ")", DOT),
         (r"\?(?=[\p{IsLatin}_]+=)", ASK),  # queries of URLs
-        (r"(?U)(?<![\p{L}\p{N}_])((?i:" + escaped(NEVER + SPACED) + r"))\.", "$1" + DOT),
-        (r"(?U)(?<![\p{L}\p{N}_])((?i:" + escaped(NUMBERED) + r"))\.(?=[\s ]*\p{N})", "$1" + DOT),
-        (r"(?U)(?<![\p{L}\p{N}_])([zZdDuUoOpPтТ])\.(?=[\s ]?(?:B|h|a|Ä|U|ex|ej|е|к|н|д|п)[." + DOT + "])", "$1" + DOT),
-        (r"(?U)(?<![\p{L}\p{N}_])(EE)\.(?=[\s ]UU)", "$1" + DOT),
-        (r"(?U)(?<![\p{L}\p{N}_])(" + "|".join(TITLES) + r")\.(?=\s+\p{Lu})", "$1" + DOT),
-        (r"(?U)(?<![\p{L}\p{N}_" + DOT + r"])([A-HJ-ZА-ЯΑ-Ω])\.(?=[\s ]?\p{Lu}(?:\p{Ll}|[." + DOT + "]))", "$1" + DOT),  # initials
-        (r"(?U)(?<![\p{L}\p{N}_])((?i:" + "|".join(ORDINAL) + r")[\s ]+\p{N}{1,2})\.(?=[\s ]+\p{Lu})", "$1" + DOT),
-        (r"(?U)\.\.\.(?=[\s ]+\p{Ll})", DOT * 3),
-    ]
-    for pattern, by in steps:
+        (r"(?U)\.(?:" + "|".join(other) + ")", DOT),
+        (r"(?U)\.\.\.(?=\s+\p{Ll})", DOT * 3),
+    ]:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(by))
     return text
 
@@ -98,19 +106,19 @@ def pieces(block: Column) -> Column:
     listed = F.split(F.regexp_replace(block, F.lit(NUMBER), F.lit(SEP + "$1" + SEP)), SEP)
     steps = [
         # marks of scripts without spaces; quotes there end a sentence only where a colon led to them
-        (r"([：:][“「『《\"][^”」』》\"" + SEP + r"]{0,2000}[。！？!?｡][”」』》\"])(?=[^\s と라이가는를를を、，。,.!?！？）」』”])", "$1" + SEP),
-        (r"([。！？｡।॥]+)(?=[^\s。！？｡।॥" + CLOSE[1:-1] + SEP + "])", "$1" + SEP),
-        (r"([。！？｡]+)(?=[“‘])", "$1" + SEP),
-        (r"(?U)(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])([!?]+)(?=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])", "$1" + SEP),
-        (r"(?U)([。！？｡।॥]+" + CLOSERS + r")(?=[\s]+\S)", "$1" + SEP),
+        (r"([：:][“「『《\"][^”」』》\"" + SEP + r"]{0,2000}[。！？!?｡][”」』》\"])(?=[^\s と라이가는를を、，。,.!?！？）」』”])", "$1" + SEP),
+        (r"[。！？｡।॥]+(?=[^\s。！？｡।॥" + CLOSE[1:-1] + SEP + "])", "$0" + SEP),
+        (r"[。！？｡]+(?=[“‘])", "$0" + SEP),
+        (r"[!?]+(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}][!?]{1,3})(?=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])", "$0" + SEP),
+        (r"(?U)[。！？｡।॥]+" + CLOSERS + r"(?=\s+\S)", "$0" + SEP),
         # marks before a space; Greek asks with a semicolon
-        (r"(?U)((?:[" + ENDS + "]+" + CLOSERS + r")+)(?=\s+" + NEXT + ")", "$1" + SEP),
-        (r"(?U)((?<=\p{IsGreek}[»\"”)]?);" + CLOSERS + r")(?=\s+" + NEXT + ")", "$1" + SEP),
-        (r"(?U)(?<=[\p{Lo}\p{M}])([.!?؟]+)(?=\s+\S)", "$1" + SEP),
+        (r"(?U)(?:[" + ENDS + "]+" + CLOSERS + r")+(?=\s+" + NEXT + ")", "$0" + SEP),
+        (r"(?U);(?<=\p{IsGreek}[»\"”)]?;)" + CLOSERS + r"(?=\s+" + NEXT + ")", "$0" + SEP),
+        (r"(?U)[.!?؟]+(?<=[\p{Lo}\p{M}][.!?؟]{1,3})(?=\s+\S)", "$0" + SEP),
         # adjoining sentences without a space
-        (r"(?U)(?<=[\p{Ll}\p{N})])([.!?؟]+)(?=\p{Lu}\p{Ll}*[\s,])", "$1" + SEP),
+        (r"(?U)[.!?؟]+(?<=[\p{Ll}\p{N})][.!?؟]{1,3})(?=\p{Lu}\p{Ll}*[\s,])", "$0" + SEP),
         # Thai
-        (r"(?<=\p{IsThai})(?=[\s ]+\p{IsThai})", SEP),
+        (r"[\s\u00a0]+(?=\p{IsThai})(?<=\p{IsThai}[\s\u00a0]{1,4})", SEP + "$0"),
     ]
     prose = block
     for pattern, by in steps:
@@ -128,15 +136,20 @@ def with_starts(parts: Column) -> Column:
 
 
 def sentences(df: DataFrame, key_cols: list[str], text_col: str = "text") -> DataFrame:
-    """(key_cols, start_pos, end_pos, sentence) of each unit."""
-    rows = df.filter(F.col(text_col).rlike(r"(?U)\S")).select(*key_cols, F.col(text_col).alias("__text"), masked(F.col(text_col)).alias("__mask"))
-    rows = rows.select(*key_cols, "__text", F.explode(with_starts(blocks(F.col("__mask")))).alias("__b"))
-    rows = rows.select(*key_cols, "__text", F.col("__b.start").alias("__base"), F.explode(with_starts(pieces(F.col("__b.part")))).alias("__u"))
-    part, base = F.col("__u.part"), F.col("__base") + F.col("__u.start")
-    bare = F.regexp_replace(part, F.lit(r"(?U)^\s+"), F.lit(""))
-    start = base + F.length(part) - F.length(bare)
-    rows = rows.select(*key_cols, "__text", start.cast("bigint").alias("start_pos"), (start + F.length(F.regexp_replace(bare, F.lit(r"(?U)\s+$"), F.lit("")))).cast("bigint").alias("end_pos"))
-    return rows.select(*key_cols, "start_pos", "end_pos", F.col("__text").substr((F.col("start_pos") + 1).cast("int"), (F.col("end_pos") - F.col("start_pos")).cast("int")).alias("sentence"))
+    """(key_cols, start_pos, end_pos, sentence) of each unit; ``sentence`` is the piece with its placeholders turned back.
+
+    A lone CR reads as LF and a private-use character as x in ``sentence``; positions are those of the text itself.
+    """
+    rows = df.filter(F.col(text_col).rlike(r"(?U)\S")).select(*key_cols, masked(F.col(text_col)).alias("__mask"))
+    # arrays are made one step before they are used twice, so that nothing is worked out twice
+    rows = rows.select(*key_cols, blocks(F.col("__mask")).alias("__parts"))
+    rows = rows.select(*key_cols, F.explode(with_starts(F.col("__parts"))).alias("__b"))
+    rows = rows.select(*key_cols, F.col("__b.start").alias("__base"), pieces(F.col("__b.part")).alias("__parts"))
+    rows = rows.select(*key_cols, "__base", F.explode(with_starts(F.col("__parts"))).alias("__u"))
+    part = F.col("__u.part")
+    rows = rows.select(*key_cols, (F.col("__base") + F.col("__u.start") + F.length(part)).alias("__end"), F.regexp_replace(part, F.lit(r"(?U)^\s+"), F.lit("")).alias("__bare"))
+    rows = rows.select(*key_cols, (F.col("__end") - F.length("__bare")).cast("bigint").alias("start_pos"), F.regexp_replace("__bare", F.lit(r"(?U)\s+$"), F.lit("")).alias("__bare"))
+    return rows.select(*key_cols, "start_pos", (F.col("start_pos") + F.length("__bare")).cast("bigint").alias("end_pos"), F.translate("__bare", DOT + ASK, ".?").alias("sentence"))
 
 
 def p10_found(spark: SparkSession, directory: str) -> DataFrame:
