@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-NAMES = ["splitting", "tokens", "neighbours", "mixing", "sentences", "secrets", "pairs", "syntax"]
+NAMES = ["splitting", "tokens", "neighbours", "mixing", "sentences", "secrets", "pairs", "syntax", "provenance"]
 
 
 def modules() -> list:
