@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import hierarchies
+from tessera.plans import hierarchies, relational
 
-MODULES = [hierarchies]
+MODULES = [hierarchies, relational]
 FLAGSHIP = "p4_found"
 
 
