@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import hierarchies, relational
+from tessera.plans import graphs, hierarchies, memory, relational, retrieval
 
-MODULES = [hierarchies, relational]
-FLAGSHIP = "p4_found"
+MODULES = [hierarchies, relational, retrieval, graphs, memory]
+FLAGSHIP = "memory_search"
 
 
 def queries() -> dict[str, Callable]:
