@@ -155,8 +155,8 @@ def verdicts(files: DataFrame, chunks: DataFrame) -> DataFrame:
     usual = scored.groupBy("language").agg(F.avg("bits").alias("usual_bits"), F.sum("snake").alias("all_snake"), F.sum("camel").alias("all_camel"))
     scored = scored.join(F.broadcast(usual), "language")
     styles = F.col("snake") + F.col("camel")
-    norm = F.col("all_snake") / (F.col("all_snake") + F.col("all_camel"))
-    own = F.when(styles >= 5, F.col("snake") / styles)
+    norm = F.col("all_snake") / F.greatest(F.col("all_snake") + F.col("all_camel"), F.lit(1))
+    own = F.when(styles >= 5, F.col("snake") / F.greatest(styles, F.lit(1)))
     foreign = ((norm < FOREIGN) & (own > 1 - FOREIGN)) | ((norm > 1 - FOREIGN) & (own < FOREIGN))
     mangled = ((F.col("bits") > F.col("usual_bits") + MANGLED_BITS) & (F.col("short") > MANGLED_SHORT) & (F.col("names") >= 20)) | ((F.col("longest") > LONG_LINE) & (F.col("short") > MANGLED_SHORT))
     data = ((F.col("literal") > DATA_SHARE) & (F.col("defined") <= 3)) | ((F.col("numbers") > 3) & (F.col("defined") <= 3))

@@ -304,16 +304,16 @@ def scanned(df: DataFrame, key_cols: list[str], text_col: str, keep_text: bool =
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(k, findings(t) if isinstance(t, str) else []) for k, t in enumerate(batch["__text"])]
-            hit = [(k, spans) for k, spans in found if spans]
-            out = batch.iloc[[k for k, _ in hit]].copy()
-            out["secrets"] = [len(spans) for _, spans in hit]
-            if keep_text:
-                out["masked"] = [masked(batch["__text"].iloc[k], spans) for k, spans in hit]
-            yield out.drop(columns="__text")
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                spans = findings(row[-1]) if isinstance(row[-1], str) else []
+                if spans:
+                    out.append((*row[:-1], len(spans), masked(row[-1], spans)) if keep_text else (*row[:-1], len(spans)))
+            yield pd.DataFrame(out, columns=names)
 
     rows = df.filter(F.length(text_col) >= 8).select(*key_cols, F.col(text_col).alias("__text"))
     kinds = dict(rows.dtypes)
+    names = [*key_cols, "secrets", *["masked"] * keep_text]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in key_cols) + ", secrets bigint" + (", masked string" if keep_text else "")
     return rows.mapInPandas(scan, schema)
 

@@ -127,8 +127,6 @@ class TrieEncoder:
 
     def learn(self, words: set[str]) -> None:
         """Insert the words into a trie and walk it depth first."""
-        if len(self.known) + len(words) > self.cached:
-            self.known = {}
         # a depth-first walk of the trie visits the words in sorted order; the stack of states is cut back to the shared prefix
         states, before = [-1], b""
         for word, text in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
@@ -145,14 +143,10 @@ class TrieEncoder:
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         cut = [self.words.findall(t) if t else [] for t in texts]
-        new = {w for words in cut for w in words}
-        if len(self.known) > self.cached:
+        needed = {w for words in cut for w in words}
+        if len(self.known) + len(needed) > self.cached:
             self.known = {}
-        new -= self.known.keys()
-        kept = self.known
-        self.learn(new)
-        if self.known is not kept:  # the cache was emptied: bring back what this batch needs
-            self.learn({w for words in cut for w in words} - self.known.keys())
+        self.learn(needed - self.known.keys())
         known = self.known
         return [[i for w in words for i in known[w]] for words in cut]
 
