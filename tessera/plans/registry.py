@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import graphs, hierarchies, memory, relational, retrieval
+from tessera.plans import capsules, graphs, hierarchies, memory, relational, retrieval
 
-MODULES = [hierarchies, relational, retrieval, graphs, memory]
-FLAGSHIP = "memory_search"
+MODULES = [hierarchies, relational, retrieval, graphs, memory, capsules]
+FLAGSHIP = "capsule"
 
 
 def queries() -> dict[str, Callable]:
