@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ def scan_tree(spark: SparkSession, root: str, glob: str = "*", most_bytes: int =
     """Files below ``root``: path, mtime (epoch ms), size, content hash; larger ones and ignored directories are left out."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     rows = rows.filter(F.col("length") <= most_bytes)
-    return rows.filter(~ignored(F.col("path"))).select("path", F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"))
+    below = F.element_at(F.split("path", "^.*?" + re.escape(root.rstrip("/")) + "/", 2), -1)
+    return rows.filter(~ignored(below)).select("path", F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"))
 
 
 #: Directories that are never indexed, and paths that hold secrets.
