@@ -44,6 +44,7 @@ DEFINED = set("function def fn func class struct interface enum trait type const
 GENERATED_HEAD = re.compile(r"(?i)\bcode generated\b|\bdo not (?:edit|modify)\b|@generated\b|<auto-?generated|\bauto-?generated\b(?!\s+method)|\bautomatically (?:produced|generated)\b|\b(?:file|code|module) (?:is|was) (?:auto(?:matically)?[- ]?)?(?:generated|produced) (?:by|from|with)|\bchanges will be (?:lost|overwritten)\b|\bgenerated (?:by|from|with) [\w.`-]+|\b(?:maschinell|automatisch) (?:erzeugt|erstellt|generiert)\b|\bgénéré[e]? (?:automatiquement|par)\b|\bgenerad[oa] (?:automáticamente|por)\b|автоматически (?:создан|сгенерирован)|自動生成|自动生成|자동(?:으로)? 생성|^\W*source: \S+\.(?:idl|proto|schema|avsc|thrift)\b")
 BY_HAND = re.compile(r"(?i)\b(?:written|maintained|edited|kept) by hand\b|\bhand[- ]?(?:written|maintained|rolled)\b|\bnot generated\b")
 VENDORED_HEAD = re.compile(r"(?i)\bvendored (?:copy|from|version)\b|\bupstream (?:release|version|commit|at)\b|\bsee upstream\b|\breleased under the [\w.() -]+ licen[sc]e by\b|\b(?:copied|imported|taken) (?:verbatim )?from (?:https?:|github|upstream)|^\W*[\w.-]+ v?\d+\.\d+\.\d+ (?:- )?.*licen[sc]ed?\b")
+FOREIGN_LICENCE = re.compile(r"(?i)\b(?:MIT|BSD|ISC|Apache|MPL|A?L?GPL)\b[^\n]*\blicen[sc]e|\bcopyright\b[^\n]*\b(?:19|20)\d\d\b")
 OWN = re.compile(r"(?i)\bthe rest of this (?:repository|repo|project)\b|\bsame licen[sc]e as this\b")
 BANNER = re.compile(r"^\s*(?:/\*!|//!)[^\n]{0,80}")
 VENDORED_PATH = re.compile(r"(?i)(?:^|/)(?:node_modules|vendor|vendors|vendored|third[-_]?party|extern|externals?|bower_components|jspm_packages|site-packages|pods|carthage|godeps|deps|contrib/lib)/|(?:^|/)[a-z][\w]*-v?\d+\.\d+\.\d+(?:[-._][\w]+)*\.\w+$|(?:^|/)[a-z][\w]*-v?\d+\.\d+\.\d+/")
@@ -91,14 +92,14 @@ def figures(path: str, text: str) -> tuple:
     return (
         longest, total, len(names), sum(c for n, c in names.items() if len(n) <= 2) / max(1, total), defined, numbered, literal / max(1, len(body)), numbers / max(1, total),
         sum("_" in n.strip("_") and n == n.lower() for n in styled), sum(bool(re.match(r"[a-z]+[0-9]*[A-Z]", n)) for n in styled),
-        bool(GENERATED_HEAD.search(head)) and not own, bool(VENDORED_HEAD.search(head)) and not own, bool(GENERATED_PATH.search(path)), bool(VENDORED_PATH.search(path)), bool(MINIFIED_PATH.search(path)),
+        bool(GENERATED_HEAD.search(head)) and not own, bool(VENDORED_HEAD.search(head)) and not own, bool(FOREIGN_LICENCE.search(head)) and not own, bool(GENERATED_PATH.search(path)), bool(VENDORED_PATH.search(path)), bool(MINIFIED_PATH.search(path)),
         list(grams), list(grams.values()),
     )
 
 
 SCHEMA = (
     "file_id bigint, language string, longest bigint, names bigint, distinct bigint, short double, defined bigint, numbered bigint, literal double, numbers double, snake bigint, camel bigint, "
-    "generated_head boolean, vendored_head boolean, generated_path boolean, vendored_path boolean, minified_path boolean, grams array<int>, counts array<int>"
+    "generated_head boolean, vendored_head boolean, licence_head boolean, generated_path boolean, vendored_path boolean, minified_path boolean, grams array<int>, counts array<int>"
 )
 
 
@@ -161,10 +162,11 @@ def verdicts(files: DataFrame, chunks: DataFrame) -> DataFrame:
     mangled = ((F.col("bits") > F.col("usual_bits") + MANGLED_BITS) & (F.col("short") > MANGLED_SHORT) & (F.col("names") >= 20)) | ((F.col("longest") > LONG_LINE) & (F.col("short") > MANGLED_SHORT))
     data = ((F.col("literal") > DATA_SHARE) & (F.col("defined") <= 3)) | ((F.col("numbers") > 3) & (F.col("defined") <= 3))
     template = (F.col("numbered") >= NUMBERED_LEAST) & (F.col("numbered") > NUMBERED_SHARE * F.col("distinct"))
+    foreign = F.coalesce(foreign, F.lit(False))
     kind = (
-        F.when(F.col("vendored_path") | F.col("vendored_head"), "vendored").when(mangled | F.col("minified_path"), "minified").when(template | F.col("generated_head") | F.col("generated_path"), "generated").when(data, "data")
+        F.when(F.col("vendored_path") | F.col("vendored_head") | (foreign & F.col("licence_head")), "vendored").when(mangled | F.col("minified_path"), "minified").when(template | F.col("generated_head") | F.col("generated_path"), "generated").when(data, "data")
     )
-    return scored.withColumn("foreign_style", F.coalesce(foreign, F.lit(False))).withColumn("kind", kind)
+    return scored.withColumn("foreign_style", foreign).withColumn("kind", kind)
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
