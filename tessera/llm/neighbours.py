@@ -79,11 +79,8 @@ def usable(df: DataFrame, id_col: str, vector_col: str, model_col: str) -> DataF
     return rows.select("id", F.xxhash64("model", F.size("vector")).alias("space"), "vector").dropDuplicates(["id"])
 
 
-def cosine(a: str, b: str):
-    def product(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
-
-    return F.round(product(F.col(a), F.col(b)) / F.sqrt(product(F.col(a), F.col(a)) * product(F.col(b), F.col(b))), 12)
+def product(x, y):
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
 
 
 def neighbours(df: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", model_col: str = "model_name", min_cosine: float = -1.0, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, hot_rows: int = HOT_ROWS, seed: int = SEED) -> DataFrame:
@@ -108,14 +105,14 @@ def neighbours(df: DataFrame, k: int, id_col: str = "id", vector_col: str = "emb
     visits = hashed.select(F.col("rep").alias("q"), F.explode(F.concat("own", "visited")).alias("key"))
     hot = base.groupBy("key").count().filter(F.col("count") > hot_rows).select("key", F.ceil(F.col("count") / hot_rows).cast("int").alias("blocks"))
     hot = cut(hot)
-    vectors = classes.select("rep", "vector")
+    vectors = cut(classes.select("rep", "vector", product(F.col("vector"), F.col("vector")).alias("square")))
     scored = None
     if hot.limit(1).count():
         scored = in_blocks(base.join(hot, "key"), visits.join(hot, "key"), vectors, k, min_cosine, hot_rows)
         base, visits = base.join(hot, "key", "left_anti"), visits.join(hot, "key", "left_anti")
     pairs = base.join(visits, "key").filter("b <> q").select(F.least("b", "q").alias("lo"), F.greatest("b", "q").alias("hi")).distinct()
-    pairs = pairs.join(vectors.select(F.col("rep").alias("lo"), F.col("vector").alias("v")), "lo").join(vectors.select(F.col("rep").alias("hi"), F.col("vector").alias("u")), "hi")
-    pairs = pairs.select("lo", "hi", cosine("v", "u").alias("cosine")).filter(F.col("cosine") >= min_cosine)
+    pairs = pairs.join(vectors.select(F.col("rep").alias("lo"), F.col("vector").alias("v"), F.col("square").alias("vv")), "lo").join(vectors.select(F.col("rep").alias("hi"), F.col("vector").alias("u"), F.col("square").alias("uu")), "hi")
+    pairs = pairs.select("lo", "hi", F.round(product(F.col("v"), F.col("u")) / F.sqrt(F.col("vv") * F.col("uu")), 12).alias("cosine")).filter(F.col("cosine") >= min_cosine)
     both = pairs.select(F.explode(F.array(F.struct(F.col("lo").alias("q"), F.col("hi").alias("b")), F.struct(F.col("hi").alias("q"), F.col("lo").alias("b")))).alias("p"), "cosine").select("p.*", "cosine")
     if scored is not None:
         both = both.unionByName(scored).dropDuplicates(["q", "b"])
@@ -134,6 +131,7 @@ def neighbours(df: DataFrame, k: int, id_col: str = "id", vector_col: str = "emb
 def in_blocks(base: DataFrame, visits: DataFrame, vectors: DataFrame, k: int, min_cosine: float, block_rows: int) -> DataFrame:
     """(q, b, cosine): the best ``k`` of every block of the hot buckets for every visitor; blocks hold about ``block_rows`` vectors."""
     blocks = F.col("blocks")
+    vectors = vectors.select("rep", "vector")
     left = base.join(vectors, base.b == vectors.rep).select("key", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("bb"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("qb"), F.col("b").alias("id"), "vector")
     right = visits.join(vectors, visits.q == vectors.rep).select("key", F.pmod(F.xxhash64("q"), blocks).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("bb"), F.col("q").alias("id"), F.col("vector").alias("asked"))
 
