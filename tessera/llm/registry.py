@@ -8,13 +8,13 @@ from collections.abc import Callable
 NAMES = ["splitting", "tokens", "neighbours", "mixing", "sentences", "secrets", "pairs", "syntax", "provenance"]
 
 
-def modules() -> list:
-    return [importlib.import_module(f"tessera.llm.{name}") for name in NAMES]
+#: Imported with the registry, so that a library that is missing shows as an import error of the subpackage.
+MODULES = [importlib.import_module(f"tessera.llm.{name}") for name in NAMES]
 
 
 def queries() -> dict[str, Callable]:
-    return {name: query for module in modules() for name, query in module.QUERIES.items()}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in modules() for name, sql in module.SQL.items()}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
