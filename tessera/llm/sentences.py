@@ -107,6 +107,8 @@ def pieces(block: Column) -> Column:
     steps = [
         # marks of scripts without spaces; quotes there end a sentence only where a colon led to them
         (r"([：:][“「『《\"][^”」』》\"" + SEP + r"]{0,2000}[。！？!?｡][”」』》\"])(?=[^\s と라이가는를を、，。,.!?！？）」』”])", "$1" + SEP),
+        # a Japanese quotation that no particle ties to what follows is a sentence of its own
+        (r"[。！？!?｡]+[」』]+(?!と|って|は|が|を|の|に)(?=[^\s」』）、。,.!?！？" + SEP + "])", "$0" + SEP),
         (r"[。！？｡।॥]+(?=[^\s。！？｡।॥" + CLOSE[1:-1] + SEP + "])", "$0" + SEP),
         (r"[。！？｡]+(?=[“‘])", "$0" + SEP),
         (r"[!?]+(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}][!?]{1,3})(?=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])", "$0" + SEP),

@@ -304,6 +304,7 @@ CASES = [
     ("Seit dem 5. Quartal gilt z. B. das. „Leer?“, fragte er. Nur: „Fertig.“ Ende.", ["Seit dem 5. Quartal gilt z. B. das.", "„Leer?“, fragte er.", "Nur: „Fertig.“", "Ende."]),
     ("缓存在46.70秒后失效。参见第3.3节（附录不算。）和a.ts。“空的吗？”同学问。机器人写道：“完成！”为什么？", ["缓存在46.70秒后失效。", "参见第3.3节（附录不算。）和a.ts。", "“空的吗？”同学问。", "机器人写道：“完成！”", "为什么？"]),
     ("「空か？」と聞いた。ボットは「完了！」と書いた。索引が古い…再構築だ。", ["「空か？」と聞いた。", "ボットは「完了！」と書いた。", "索引が古い…再構築だ。"]),
+    ("「cacheはどこ？」なぜ呼ばれるのか？「空か？」と聞いた。", ["「cacheはどこ？」", "なぜ呼ばれるのか？", "「空か？」と聞いた。"]),
     ("คิวของ parseLease ว่างอยู่ ภาระงานลดลง 37.24 เปอร์เซ็นต์ ใครเป็นคน", ["คิวของ parseLease ว่างอยู่", "ภาระงานลดลง 37.24 เปอร์เซ็นต์", "ใครเป็นคน"]),
     ("Γιατί η x καλείται φορές; Η μνήμη λήγει μετά από 2.3 δευτ. και αδειάζει. Τέλος", ["Γιατί η x καλείται φορές;", "Η μνήμη λήγει μετά από 2.3 δευτ. και αδειάζει.", "Τέλος"]),
     ("सूची कौन साफ़ करेगा? “कतार खाली है।” भार घट गया। अंत", ["सूची कौन साफ़ करेगा?", "“कतार खाली है।”", "भार घट गया।", "अंत"]),
