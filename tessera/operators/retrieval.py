@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.session import cut
 
 K1, B, FUSION_K = 1.5, 0.75, 60
 
@@ -69,13 +70,13 @@ def corrected_terms(index: DataFrame, terms: DataFrame, most: int = 2) -> DataFr
 
 def with_fallback(index: DataFrame, queries: DataFrame, limit: int = 20, least: int = 3) -> DataFrame:
     """BM25; queries with fewer than ``least`` hits get the trigram-expanded layer, and then the corrected one; first layers go first."""
-    terms = query_terms(queries)
+    index, terms = cut(index), query_terms(queries)  # the index is read by every layer
     layers = [bm25(index, terms, limit), bm25(index, expanded_terms(index, terms), limit), bm25(index, corrected_terms(index, terms).select("query_id", F.col("nearest").alias("term")), limit)]
-    out = layers[0].withColumn("layer", F.lit(1))
+    out = cut(layers[0].withColumn("layer", F.lit(1)))
     for number, layer in enumerate(layers[1:], 2):
         full = out.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("query_id")
         more = layer.join(full, "query_id", "left_anti").join(out.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-        out = out.unionByName(more.withColumn("layer", F.lit(number)))
+        out = cut(out.unionByName(more.withColumn("layer", F.lit(number))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("layer", "rank"))
     return out.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= limit).select("query_id", "doc_id", "score", "rank", "layer")
 
@@ -94,7 +95,7 @@ def memory_search(docs: DataFrame, queries: DataFrame, scope_weights: dict[str,
 
     ``docs``: (doc_id, text, scope, confidence, active). Only active documents come out.
     """
-    index = postings(docs)
+    index = cut(postings(docs))
     base = with_fallback(index, queries)
     wide = bm25(index, expanded_terms(index, query_terms(queries)), 60)
     fused = fuse([(base, 1.0), (wide, 1.0)])

@@ -10,6 +10,7 @@ from tessera.functions.stem import stem_column, stemmed
 from tessera.operators import retrieval as R
 from tessera.operators import vectors as V
 from tessera.plans.relational import chunks, files, symbols
+from tessera.session import cut
 from tessera.sources.tables import once, table
 
 ASKED = [(1, "stale journal before the cache is sealed"), (2, "who clears the retry queue"), (3, "partial snapshot rotate size"), (4, "compact beacon"), (5, "jornal plannr")]
@@ -47,11 +48,11 @@ def corpus_stats(s, d):
 
 
 def bm25_topk(s, d):
-    return R.bm25(R.postings(docs(s, d)), R.query_terms(asked(s)), 20)
+    return R.bm25(cut(R.postings(docs(s, d))), R.query_terms(asked(s)), 20)
 
 
 def bm25_expanded(s, d):
-    index = R.postings(docs(s, d))
+    index = cut(R.postings(docs(s, d)))
     return R.bm25(index, R.expanded_terms(index, R.query_terms(asked(s))), 20)
 
 
@@ -66,7 +67,7 @@ def bm25_fallback(s, d):
 def rrf_fuse(s, d):
     """BM25 fused with recency of the documents that hold a term of the query."""
     terms = R.query_terms(asked(s))
-    index = R.postings(docs(s, d))
+    index = cut(R.postings(docs(s, d)))
     text = R.bm25(index, terms, 50)
     newest = index.join(terms.distinct(), "term").select("query_id", "doc_id").distinct().join(table(s, d, "documents").select("doc_id", "created_at"), "doc_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("created_at"), "doc_id"))
@@ -172,8 +173,8 @@ def hybrid_rank(s, d):
     """Chunks for each query: names that hold a word (weight 2), BM25 (1) and the neighbours of the best chunk's vector (1), fused with recency's small bonus."""
     q = asked(s)
     c = chunks(s, d, "file_id", "text")
-    index = R.postings(c, "id")
-    lexical = R.bm25(index, R.query_terms(q), 50)
+    index = cut(R.postings(c, "id"))
+    lexical = cut(R.bm25(index, R.query_terms(q), 50))
     words = symbols(s, d, "file_id", "name").select("file_id", F.explode(X.split_identifier(F.col("name"))).alias("term")).distinct()
     exact = R.query_terms(q).distinct().join(words, "term").groupBy("query_id", "file_id").agg(F.count(F.lit(1)).alias("score")).join(c.select(F.col("id").alias("doc_id"), "file_id"), "file_id")
     exact = R.ranked(exact.select("query_id", "doc_id", "score"), 50)
