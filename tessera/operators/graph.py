@@ -56,12 +56,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
     ranks = cut(nodes.join(out.select(F.col("src").alias("id"), F.lit(1).alias("has_out")), "id", "left").withColumn("rank", F.lit(1.0 / n)))
+    lost = ranks.filter("has_out is null").count() / n
     for _ in range(rounds):
-        lost = ranks.filter("has_out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         got = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        new = ranks.join(got, "id", "left").select("id", "has_out", F.col("rank").alias("old"), ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"))
-        new = cut(new)
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        new = cut(ranks.join(got, "id", "left").select("id", "has_out", F.col("rank").alias("old"), ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank")))
+        # one pass tells how far the ranks moved and what the next round has to spread
+        change, lost = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("has_out").isNull(), F.col("rank"))), F.lit(0.0))).first()
         ranks = new.drop("old")
         if change < tolerance:
             break
