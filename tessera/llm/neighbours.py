@@ -6,7 +6,8 @@ order in which they are likely to hold a neighbour (small distance to the border
 visits the other's bucket in any table; candidates of all tables are merged and reranked by their exact cosine.
 
 The number of hashes per table follows the logarithm of the number of vectors, so chance meetings per vector stay few
-at any size. A bucket with more than ``hot_rows`` vectors is not joined pair by pair: its vectors are
+at any size. Below the similarity ``sure`` (0.9, or ``min_cosine`` if larger) hashing promises nothing: where ``min_cosine`` is lower, a vector whose k
+neighbours are not all at ``sure`` or above meets all vectors of its model in exact matrix products. A bucket with more than ``hot_rows`` vectors is not joined pair by pair: its vectors are
 cut into blocks, every visitor meets every block as a matrix product, and only the best k of each block go on. Nothing is capped.
 
 Defined results: vectors that are null, all zero or hold a null element, and rows with a null id or model, are left out; vectors meet only within one model
@@ -28,6 +29,8 @@ from tessera.session import cut
 from tessera.sources.tables import table
 
 TABLES, PROBES, WIDTH, SEED, HOT_ROWS = 6, 12, 1.4, 20, 2000
+#: The similarity hashing answers for, and vectors in a block of the exact products.
+SURE, EXACT_ROWS = 0.9, 8000
 #: Chance of one hash to agree for two random unit vectors at this width.
 CHANCE = 0.37
 
@@ -83,7 +86,7 @@ def product(x, y):
     return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
 
 
-def neighbours(df: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", model_col: str = "model_name", min_cosine: float = -1.0, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, hot_rows: int = HOT_ROWS, seed: int = SEED) -> DataFrame:
+def neighbours(df: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", model_col: str = "model_name", min_cosine: float = -1.0, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, hot_rows: int = HOT_ROWS, seed: int = SEED, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """(id, neighbour, cosine): up to ``k`` most similar other rows of each usable row, at ``min_cosine`` or above."""
     rows = cut(usable(df, id_col, vector_col, model_col))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
@@ -93,6 +96,7 @@ def neighbours(df: DataFrame, k: int, id_col: str = "id", vector_col: str = "emb
     classes = cut(classes)
     count = classes.count()
     hashes = max(8, math.ceil(math.log(max(count, 2)) / -math.log(CHANCE)) + 1)
+    sure = max(min_cosine, SURE)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -108,14 +112,21 @@ def neighbours(df: DataFrame, k: int, id_col: str = "id", vector_col: str = "emb
     vectors = cut(classes.select("rep", "vector", product(F.col("vector"), F.col("vector")).alias("square")))
     scored = None
     if hot.limit(1).count():
-        scored = in_blocks(base.join(hot, "key"), visits.join(hot, "key"), vectors, k, min_cosine, hot_rows)
+        scored = in_blocks(base.join(hot, "key"), visits.join(hot, "key"), vectors, k, sure)
         base, visits = base.join(hot, "key", "left_anti"), visits.join(hot, "key", "left_anti")
     pairs = base.join(visits, "key").filter("b <> q").select(F.least("b", "q").alias("lo"), F.greatest("b", "q").alias("hi")).distinct()
     pairs = pairs.join(vectors.select(F.col("rep").alias("lo"), F.col("vector").alias("v"), F.col("square").alias("vv")), "lo").join(vectors.select(F.col("rep").alias("hi"), F.col("vector").alias("u"), F.col("square").alias("uu")), "hi")
-    pairs = pairs.select("lo", "hi", F.round(product(F.col("v"), F.col("u")) / F.sqrt(F.col("vv") * F.col("uu")), 12).alias("cosine")).filter(F.col("cosine") >= min_cosine)
+    pairs = pairs.select("lo", "hi", F.round(product(F.col("v"), F.col("u")) / F.sqrt(F.col("vv") * F.col("uu")), 12).alias("cosine")).filter(F.col("cosine") >= sure)
     both = pairs.select(F.explode(F.array(F.struct(F.col("lo").alias("q"), F.col("hi").alias("b")), F.struct(F.col("hi").alias("q"), F.col("lo").alias("b")))).alias("p"), "cosine").select("p.*", "cosine")
     if scored is not None:
         both = both.unionByName(scored).dropDuplicates(["q", "b"])
+    if min_cosine < sure:  # what hashing does not answer for
+        both = cut(both)
+        near = both.join(classes.select(F.col("rep").alias("b"), F.size("members").alias("found")), "b").groupBy(F.col("q").alias("rep")).agg(F.sum("found").alias("found"))
+        rest = classes.join(near, "rep", "left").filter(F.size("members") - 1 + F.coalesce("found", F.lit(0)) < k).select(F.col("rep").alias("q"), F.col("space").alias("key"))
+        spaces = cut(classes.groupBy(F.col("space").alias("key")).agg(F.ceil(F.count(F.lit(1)) / exact_rows).cast("int").alias("blocks")))
+        everyone = classes.select(F.col("rep").alias("b"), F.col("space").alias("key"))
+        both = both.unionByName(in_blocks(everyone.join(spaces, "key"), rest.join(spaces, "key"), vectors, k, min_cosine)).dropDuplicates(["q", "b"])
     nearest = both.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "b"))).filter(F.col("n") <= k)
     # a class's neighbours: its own members first, then the members of the nearest classes
     other = nearest.join(classes.select(F.col("rep").alias("b"), F.col("members").alias("ids")), "b").select(F.col("q").alias("rep"), F.transform("ids", lambda i: F.struct((-F.col("cosine")).alias("d"), i.alias("id"))).alias("ids"))
@@ -128,8 +139,8 @@ def neighbours(df: DataFrame, k: int, id_col: str = "id", vector_col: str = "emb
     return found.select("id", F.explode("ranked").alias("r")).select("id", F.col("r.id").alias("neighbour"), (-F.col("r.d")).alias("cosine")).filter(F.col("cosine") >= min_cosine)
 
 
-def in_blocks(base: DataFrame, visits: DataFrame, vectors: DataFrame, k: int, min_cosine: float, block_rows: int) -> DataFrame:
-    """(q, b, cosine): the best ``k`` of every block of the hot buckets for every visitor; blocks hold about ``block_rows`` vectors."""
+def in_blocks(base: DataFrame, visits: DataFrame, vectors: DataFrame, k: int, min_cosine: float) -> DataFrame:
+    """(q, b, cosine): the best ``k`` of every one of a key's ``blocks`` for every visitor of the key."""
     blocks = F.col("blocks")
     vectors = vectors.select("rep", "vector")
     left = base.join(vectors, base.b == vectors.rep).select("key", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("bb"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("qb"), F.col("b").alias("id"), "vector")
@@ -140,17 +151,24 @@ def in_blocks(base: DataFrame, visits: DataFrame, vectors: DataFrame, k: int, mi
             return pd.DataFrame({"q": [], "b": [], "cosine": []}).astype({"q": "int64", "b": "int64", "cosine": "float64"})
         held, at = np.stack(a["vector"].to_list()).astype(np.float64), a["id"].to_numpy()
         b = b.drop_duplicates("id")
+        lengths = np.sqrt((held**2).sum(1))
         out = []
         for start in range(0, len(b), 1024):
             part = b.iloc[start : start + 1024]
             asks = np.stack(part["asked"].to_list()).astype(np.float64)
-            norms = np.sqrt((asks**2).sum(1)[:, None] * (held**2).sum(1)[None, :])
-            like = np.round(asks @ held.T / norms, 12)
-            like[part["id"].to_numpy()[:, None] == at[None, :]] = -2
-            for i, q in enumerate(part["id"].to_numpy()):
-                top = np.lexsort((at, -like[i]))[:k] if len(at) <= 4 * k else (lambda c, i=i: c[np.lexsort((at[c], -like[i][c]))][:k])(np.flatnonzero(like[i] >= np.partition(like[i], -k)[-k]))
-                out += [(q, at[j], like[i][j]) for j in top if like[i][j] >= max(min_cosine, -1.5)]
-        return pd.DataFrame(out, columns=["q", "b", "cosine"]).astype({"q": "int64", "b": "int64", "cosine": "float64"})
+            like = asks @ held.T
+            like /= np.sqrt((asks**2).sum(1))[:, None]
+            like /= lengths[None, :]
+            np.round(like, 12, out=like)
+            asking = part["id"].to_numpy()
+            like[asking[:, None] == at[None, :]] = -2
+            least = np.full(len(part), -1.5) if len(at) <= k else np.partition(like, -k, axis=1)[:, -k]
+            i, j = np.nonzero(like >= np.maximum(least, max(min_cosine, -1.5))[:, None])
+            order = np.lexsort((at[j], -like[i, j], i))
+            i, j = i[order], j[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append(pd.DataFrame({"q": asking[i[first]], "b": at[j[first]], "cosine": like[i[first], j[first]]}))
+        return pd.concat(out)
 
     return left.groupBy("key", "bb", "qb").cogroup(right.groupBy("key", "bb", "qb")).applyInPandas(best, "q bigint, b bigint, cosine double")
 

@@ -79,6 +79,20 @@ def test_neighbours_recall(spark, hot):
     assert len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(want)
 
 
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_neighbours_recall_without_floor(spark, blocks):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-100, 101, (600, 32))
+    x[:20] = x[20:40] + rng.integers(-3, 4, (20, 32))
+    df = spark.createDataFrame([(i, "m", v) for i, v in enumerate(x.tolist())], "id long, model_name string, embedding array<tinyint>")
+    rows = neighbours.neighbours(df, 5, exact_rows=600 // blocks).collect()
+    like = np.round(x @ x.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :], 9)
+    np.fill_diagonal(like, -2)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -like[i]))[:5]}
+    got = {(r[0], r[1]) for r in rows}
+    assert len(got) == len(rows) == len(want) and len(got & want) >= 0.99 * len(want)
+
+
 def test_neighbours_copies_and_odd_rows(spark):
     rows = [(i, "m", [1, 2, 3]) for i in range(10)] + [(20, "m", None), (21, "m", [0, 0, 0]), (22, None, [1, 2, 3]), (23, "m", [1, 2]), (24, "m", [1, None, 3]), (None, "m", [1, 2, 3]), (0, "m", [1, 2, 3])]
     df = spark.createDataFrame(rows, "id long, model_name string, embedding array<tinyint>")
