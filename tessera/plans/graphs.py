@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import graph as G
 from tessera.plans.relational import E, S, edges, files, symbols
+from tessera.session import cut
 
 KIND_COST = {"reexport": 0.1, "dynamic_dispatch": 0.7, "inheritance": 0.6, "implements": 0.7, "jsx_render": 0.8, "framework_entry": 0.55, "callback": 0.7, "server-action": 0.7, "route-handler": 0.7, "event": 0.8}  # fixed values
 FLOW_WEIGHT = {"call": 1.0, "import": 1.0, "type_usage": 0.9, "inheritance": 0.9, "implements": 0.9, "jsx_render": 0.8, "framework_entry": 0.8, "dynamic_dispatch": 0.7, "callback": 0.7, "server-action": 0.7, "route-handler": 0.7, "event": 0.8, "reexport": 0.6, "reference": 0.5}  # fixed values
@@ -25,17 +26,31 @@ def bfs_distance(s, d):
     return G.bfs(G.undirected(links(s, d)), pivots(s, d), 3).select("id", F.col("distance").cast("bigint").alias("distance"))
 
 
-def weighted_distance(s, d):
-    """Cheapest ways below 4 over at most three edges: kind by strength, cheaper within a directory, dearer into tests and copies."""
+def costs(s, d, incoming: bool = False):
+    """(src, dst, cost): kind by strength, cheaper within a directory, dearer into tests and copies; ``incoming`` edges, from dst to src, at 1.5 times the cost."""
     f = files(s, d, "path").select(F.col("id").alias("file_id"), "path")
     place = symbols(s, d, "file_id").join(f, "file_id").select("id", "path")
-    rows = links(s, d).join(place.select(F.col("id").alias("src"), F.col("path").alias("a")), "src").join(place.select(F.col("id").alias("dst"), F.col("path").alias("b")), "dst")
+    rows = links(s, d)
+    times = F.lit(1.0)
+    if incoming:
+        rows, times = rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind", "strength"), F.lit(1.5)
+    rows = rows.join(place.select(F.col("id").alias("src"), F.col("path").alias("a")), "src").join(place.select(F.col("id").alias("dst"), F.col("path").alias("b")), "dst")
     kind = F.coalesce(F.create_map(*[F.lit(x) for i in KIND_COST.items() for x in i])[F.col("kind")], F.lit(1.0))
     base = kind / F.when(F.col("strength") > 0, F.col("strength")).otherwise(1.0)
     low = F.lower("b")
     factor = F.when(X.dirname(F.col("a")) == X.dirname(F.col("b")), 0.6).when(low.rlike("(^|/)(legacy|archive|old|prototype)/|_(legacy|demo|old|prototype|archive)[_/]"), 3.0).when(low.rlike("/(tests?|__tests?__|spec)/"), 1.8).when(low.rlike("/(vendor|third_party|external)/"), 2.5).when(low.rlike("(^|/)(examples?|samples?|demo)/"), 3.0).otherwise(1.0)
-    out = G.weighted_distances(rows.select("src", "dst", (base * factor).alias("cost")), pivots(s, d), 4.0, 3)
-    return out.select("id", F.round("cost", 6).alias("cost"))
+    return rows.select("src", "dst", (base * factor * times).alias("cost"))
+
+
+def weighted_distance(s, d):
+    """Cheapest ways below 4 over at most three outgoing edges, as its SQL says; ``weighted_reach`` is the whole traversal."""
+    return G.weighted_distances(costs(s, d), pivots(s, d), 4.0, 3).select("id", F.round("cost", 6).alias("cost"))
+
+
+def weighted_reach(s, d):
+    """Cheapest ways below 4 over outgoing and incoming edges, to the fixpoint."""
+    both = costs(s, d).unionByName(costs(s, d, incoming=True)).groupBy("src", "dst").agg(F.min("cost").alias("cost"))
+    return G.weighted_distances(cut(both), pivots(s, d), 4.0, 1_000_000).select("id", F.round("cost", 6).alias("cost"))
 
 
 def pagerank(s, d):
@@ -96,7 +111,7 @@ def flow_paths(s, d):
     return G.flows(rows, roots).select("root", "rank", F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 
 
-QUERIES = {f.__name__: f for f in (bfs_distance, weighted_distance, pagerank, file_clusters, symbol_components, strong_components, circular_count, topological_levels, betweenness, impact_depth3, shortest_path, flow_paths)}
+QUERIES = {f.__name__: f for f in (bfs_distance, weighted_distance, weighted_reach, pagerank, file_clusters, symbol_components, strong_components, circular_count, topological_levels, betweenness, impact_depth3, shortest_path, flow_paths)}
 L = f"l as (select source_symbol_id src, target_symbol_id dst, kind, strength from {E})"
 PIV = f"pv as (select id from {S} order by centrality desc, id limit 5)"
 DIR = "case when contains({0}, '/') then regexp_replace({0}, '/[^/]*$', '') else '.' end"

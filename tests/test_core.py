@@ -13,6 +13,7 @@ from tessera.operators import hierarchy as H
 from tessera.operators import packing as P
 from tessera.operators import retrieval as R
 from tessera.operators import vectors as V
+from tessera.plans import graphs
 from tessera.sources import tables as T
 from tessera.streaming import watch
 
@@ -110,6 +111,18 @@ def test_components_against_union_find(spark):
     assert G.strong_components(empty).count() == 0 and G.topological_levels(empty).count() == 0
 
 
+def test_weighted_reach_follows_incoming_edges_to_the_fixpoint(spark, tmp_path):
+    spark.createDataFrame([(1, "a/x.py"), (2, "b/y.py"), (3, "a/z.py"), (4, "c/tests/t.py")], "id long, path string").write.parquet(f"{tmp_path}/files.parquet")
+    # 1 to 5 are pivots without edges but 1; 10 to 18 follow by re-exports, one hop each
+    symbols = [(i, 1, 9.0) for i in range(1, 6)] + [(i, 2, 1.0) for i in range(10, 19)] + [(20, 2, 1.0), (21, 3, 1.0), (22, 4, 1.0), (23, 2, 1.0)]
+    spark.createDataFrame(symbols, "id long, file_id long, centrality double").write.parquet(f"{tmp_path}/symbols.parquet")
+    edges = [(1, 10, "reexport", 1.0)] + [(i, i + 1, "reexport", 1.0) for i in range(10, 18)] + [(20, 1, "call", 1.0), (21, 1, "call", 1.0), (22, 1, "call", 1.0), (23, 20, "call", 0.5)]
+    spark.createDataFrame([(n, *e) for n, e in enumerate(edges)], "id long, source_symbol_id long, target_symbol_id long, kind string, strength double").write.parquet(f"{tmp_path}/edges.parquet")
+    got = {r.id: r.cost for r in graphs.weighted_reach(spark, str(tmp_path)).collect()}
+    want = dict.fromkeys(range(1, 6), 0.0) | {10: 0.1} | {i: 0.1 + 0.06 * (i - 10) for i in range(11, 19)} | {20: 1.5, 21: 0.9, 22: 2.7, 23: 1.5 + 1.8}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_weighted_distances_obey_the_triangle(spark):
     rows = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (3, 4, 0.5), (4, 5, 9.0)], "src long, dst long, cost double")
     assert {r.id: r.cost for r in G.weighted_distances(rows, node_table(spark, [1]), 4.0).collect()} == {1: 0, 2: 1, 3: 2, 4: 2.5}
