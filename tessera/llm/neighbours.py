@@ -5,8 +5,9 @@ floor((a.v + b) / w) for several Gaussian a. Besides its own bucket a vector vis
 order in which they are likely to hold a neighbour (small distance to the borders crossed). A pair is a candidate if either side
 visits the other's bucket in any table; candidates of all tables are merged and reranked by their exact cosine.
 
-The number of hashes per table follows the logarithm of the number of vectors, so chance meetings per vector stay few
-at any size. Below the similarity ``sure`` (0.9, or ``min_cosine`` if larger) hashing promises nothing: where ``min_cosine`` is lower, a vector whose k
+The number of hashes per table follows the logarithm of the number of vectors, so chance meetings per vector stay few;
+tables and probes follow the hashes, so that a pair at the similarity ``sure`` (0.9, or ``min_cosine`` if larger) is met with a
+chance of ``TARGET`` at any size. Below that similarity hashing promises nothing: where ``min_cosine`` is lower, a vector whose k
 neighbours are not all at ``sure`` or above meets all vectors of its model in exact matrix products. A bucket with more than ``hot_rows`` vectors is not joined pair by pair: its vectors are
 cut into blocks, every visitor meets every block as a matrix product, and only the best k of each block go on. Nothing is capped.
 
@@ -29,8 +30,8 @@ from tessera.session import cut
 from tessera.sources.tables import table
 
 TABLES, PROBES, WIDTH, SEED, HOT_ROWS = 6, 12, 1.4, 20, 2000
-#: The similarity hashing answers for, and vectors in a block of the exact products.
-SURE, EXACT_ROWS = 0.9, 8000
+#: The similarity hashing answers for, the least chance of meeting there, and vectors in a block of the exact products.
+SURE, TARGET, EXACT_ROWS = 0.9, 0.95, 8000
 #: Chance of one hash to agree for two random unit vectors at this width.
 CHANCE = 0.37
 
@@ -51,6 +52,33 @@ def perturbations(hashes: int, count: int) -> list[tuple[int, ...]]:
     return found
 
 
+def first_meetings(cosine: float, hashes: int, probes: int, width: float, samples: int = 10_000, seed: int = SEED) -> np.ndarray:
+    """Chances that a pair at ``cosine`` meets in one table with 0, 1, ... ``probes`` probes, by simulation of its places."""
+    random = np.random.default_rng([seed, hashes])
+    place = random.uniform(size=(samples, hashes))
+    other = place + random.normal(size=(samples, hashes)) * math.sqrt(2 - 2 * cosine) / width
+    mix = random.integers(1, 2**62, hashes, dtype=np.int64) | 1
+    first = np.full(samples, probes + 1)
+    with np.errstate(over="ignore"):
+        for one, two in ((place, other), (other, place)):
+            within = one - np.floor(one)
+            order = np.argsort(np.concatenate([within, 1 - within], 1) ** 2, axis=1, kind="stable")
+            step = mix[order % hashes] * np.where(order < hashes, -1, 1)
+            apart = ((np.floor(two) - np.floor(one)).astype(np.int64) * mix).sum(1)
+            for n, ranks in enumerate([(), *perturbations(hashes, probes)]):
+                met = step[:, list(ranks)].sum(1) == apart
+                first[met] = np.minimum(first[met], n)
+    return np.cumsum(np.bincount(first, minlength=probes + 2)[: probes + 1]) / samples
+
+
+def tables_and_probes(cosine: float, hashes: int, width: float = WIDTH, target: float = TARGET, most_probes: int = 64) -> tuple[int, int]:
+    """The cheapest choice that lets a pair at ``cosine`` meet with a chance of ``target``, or that of ``TABLES`` and ``PROBES`` if larger."""
+    chances = first_meetings(cosine, hashes, most_probes, width)
+    lost = max(1e-4, min(1 - target, (1 - chances[PROBES]) ** TABLES))
+    choices = [(math.ceil(math.log(lost) / math.log1p(-min(c, 1 - 1e-9))), probes) for probes, c in enumerate(chances) if c > 0]
+    return min(choices, key=lambda x: (x[0] * (3 + x[1]), x[0]))  # a table's own key is sorted and looked up too
+
+
 def bucket_keys(vectors: np.ndarray, space: int, hashes: int, tables: int, probes: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, tables) own keys and (rows, tables * probes) visited keys of ``vectors`` (rows, dimension)."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -86,7 +114,7 @@ def product(x, y):
     return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
 
 
-def neighbours(df: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", model_col: str = "model_name", min_cosine: float = -1.0, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, hot_rows: int = HOT_ROWS, seed: int = SEED, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def neighbours(df: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", model_col: str = "model_name", min_cosine: float = -1.0, tables: int | None = None, probes: int | None = None, width: float = WIDTH, hot_rows: int = HOT_ROWS, seed: int = SEED, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """(id, neighbour, cosine): up to ``k`` most similar other rows of each usable row, at ``min_cosine`` or above."""
     rows = cut(usable(df, id_col, vector_col, model_col))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
@@ -97,6 +125,8 @@ def neighbours(df: DataFrame, k: int, id_col: str = "id", vector_col: str = "emb
     count = classes.count()
     hashes = max(8, math.ceil(math.log(max(count, 2)) / -math.log(CHANCE)) + 1)
     sure = max(min_cosine, SURE)
+    if tables is None or probes is None:
+        tables, probes = tables_and_probes(sure, hashes, width)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

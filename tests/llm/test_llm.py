@@ -1,5 +1,6 @@
 """Operators for training data: against brute force, round trips, edge cases."""
 
+import math
 import random
 import re
 
@@ -93,6 +94,19 @@ def test_neighbours_recall_without_floor(spark, blocks):
     assert len(got) == len(rows) == len(want) and len(got & want) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize("hashes", [9, 13, 16])
+def test_pairs_at_the_least_similarity_meet_at_every_size(hashes):
+    rng = np.random.default_rng(hashes)
+    x, y = rng.normal(size=(2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.9 * x + math.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    tables, probes = neighbours.tables_and_probes(0.9, hashes)
+    (own_x, visited_x), (own_y, visited_y) = (neighbours.bucket_keys(v, 1, hashes, tables, probes, neighbours.WIDTH, 7) for v in (x, y))
+    met = [bool({*own_x[i], *visited_x[i]} & {*own_y[i]} or {*visited_y[i]} & {*own_x[i]}) for i in range(len(x))]
+    assert np.mean(met) >= 0.92
+
+
 def test_neighbours_copies_and_odd_rows(spark):
     rows = [(i, "m", [1, 2, 3]) for i in range(10)] + [(20, "m", None), (21, "m", [0, 0, 0]), (22, None, [1, 2, 3]), (23, "m", [1, 2]), (24, "m", [1, None, 3]), (None, "m", [1, 2, 3]), (0, "m", [1, 2, 3])]
     df = spark.createDataFrame(rows, "id long, model_name string, embedding array<tinyint>")
