@@ -213,6 +213,22 @@ def test_invalid_files(spark):
     assert syntax.invalid_files(files.limit(0), chunks).count() == 0
 
 
+@pytest.mark.parametrize(("language", "before", "after", "trailing"), [("json", "[", "]", False), ("python", "x = f(", ")\n", True), ("python", "x = [", "]\n", True), ("java", "class A { int[] x = {", "}; }", True), ("java", "class A { void f() { g(", "); } }", False), ("go", "package a\nvar x = []int{", "}\n", True), ("rust", "fn f() { g(", "); }", True), ("javascript", "f(", ");", True)])
+def test_separators_of_long_lists_count(language, before, after, trailing):
+    for n in (3, 200):
+        items = ",".join(map(str, range(n)))
+        bad = {x: bool(syntax.problems(language, before + x + after)) for x in (items, items + ",", "," + items, items + ",," + items)}
+        assert [*bad.values()] == [False, not trailing, True, True], n
+
+
+def test_long_members_and_statements():
+    members = ",".join(f'"k{i}":{i}' for i in range(60))
+    assert not syntax.problems("json", "{" + members + "}")
+    assert all(syntax.problems("json", "{" + x + "}") for x in (members + ",", "," + members, members + ",," + members))
+    assert not syntax.problems("javascript", "var " + ",".join(f"a{i}=b+{i}" for i in range(500)) + ";")
+    assert syntax.problems("python", "x = [1, 2, 3, 4, y for y in z]\n")
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 def test_descriptions():
     good = ["// Rejects stale samplers.", "/** Walks the lane backwards.\n * @param x the lane */", "# 期限切れのリースを破棄し、残りを返す。", "Renvoie le premier segment encore valide.", "Returns the sum of both totals."]
