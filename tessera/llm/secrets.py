@@ -28,11 +28,6 @@ from pyspark.sql import functions as F
 
 from tessera.sources.tables import table
 
-#: Keywords of the automaton, lower case.
-KEYWORDS = (
-    "passw pwd passphrase _pass pass: pass= dbpass secret token apikey api_key api-key accesskey access_key access-key auth bearer basic credential private signing "
-    "hmac connection login ://  begin akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ xox sk_live_ rk_live_ sk-ant sk-proj eyj aiza glpat- npm_ sg. hf_ dop_v1_ key: key= key, sig= cookie encryption end pw"
-).split()
 #: Formats of issuers.
 FORMATS = re.compile(
     r"(?<![A-Za-z0-9_])(?:(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{16})|(?P<gh>gh[pousr]_[A-Za-z0-9]{36,})|(?P<ghfine>github_pat_[A-Za-z0-9_]{50,})|(?P<slack>xox[abeoprs]-[A-Za-z0-9-]{20,})"
@@ -43,6 +38,10 @@ FORMATS = re.compile(
 SECRET_WORDS = set("password passwd pwd passphrase pass pw secret secrets token apikey accesskey credential credentials bearer auth authorization signing hmac jwt passcode".split())
 KEY_WORDS = set("api access private secret signing encryption auth client shared service account ssh master".split())
 ABOUT_WORDS = set("hint policy ref reference name names pattern regex mask masked label integrity checksum digest hash public verify verifier verification env type kind field placeholder example fingerprint expiry ttl".split())
+#: Keywords of the automaton, lower case: all words that the steps after it accept (each name with a key word holds "key"), and the formats' beginnings.
+KEYWORDS = sorted(SECRET_WORDS | set(
+    "key credential connect login log_in signin sign_in pair signature sig= ://  begin end private akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ xox sk_live_ rk_live_ sk-ant sk-proj eyj aiza glpat- npm_ sg. hf_ dop_v1_ basic connection cookie encryption".split()
+))
 #: What stands where a secret should be.
 PLACEHOLDER = re.compile(
     r"(?i)your[-_ ]?|example|change[-_ ]?(?:me|it|this)|replace[-_ ]?(?:me|this|with)?|placeholder|dummy|redacted|insert[-_ ]|todo|fixme|to[-_ ]be[-_ ]set|not[-_ ]?set|fake|<[^>]*>|\$\{|\{\{|\$\(|%\(|%s|\.\.\.|^\$[A-Za-z_]\w*$|^\{[^}]*\}$"

@@ -272,6 +272,17 @@ def test_secrets():
         assert not secrets.findings(text), (text, secrets.findings(text))
 
 
+@pytest.mark.parametrize("line", ['"pass": "{}"', '{{"smtpPass": "{}"}}', 'userPass = "{}"', 'pass := "{}"', 'passcode = "{}"', 'jwt = "{}"', 'masterKey = "{}"', 'clientKey = "{}"', 'sharedKey = "{}"', '"masterKey": "{}"', '"X-Client-Key": "{}"', 'sign_in("bob", "{}")', 'get("h?signature={}")'])
+def test_secrets_of_every_name(line):
+    text = line.format("q7Wd9Kx2mPz4Rt8V")
+    assert secrets.masked(text, secrets.findings(text)) == line.format("x0Xx0Xx0xXx0Xx0X")
+
+
+def test_keywords_hold_all_words_of_the_later_steps():
+    for word in secrets.SECRET_WORDS | {f"{w}_key" for w in secrets.KEY_WORDS}:
+        assert any(k in word for k in secrets.KEYWORDS), word
+
+
 def test_secrets_edge_cases(spark):
     rows = [(i, t) for i, t in enumerate(ODD_TEXTS)] + [(100, "İ" * 50 + SECRET[0]), (100, "İ" * 50 + SECRET[0]), (101, "x\n" * 20_000 + SECRET[2])]
     df = spark.createDataFrame(rows, "row_id long, text string").withColumn("secrets", F.lit("clash"))
