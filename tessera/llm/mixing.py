@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,21 @@ def split_tree(counts: np.ndarray, shards: int, random: np.random.Generator) ->
     return out
 
 
+def running(rows: DataFrame, order: list, ranges: int = 256) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``size`` of the source's rows ahead of each one in the order ``h`` (a hash), then ``order``.
+
+    A source's rows are summed range by range of the hash, so no source is ever in one task.
+    """
+    # ranges of equal width: hashes are spread evenly, and the ranges' sums are few
+    rows = rows.withColumn("__range", F.shiftright("h", 64 - (ranges - 1).bit_length()).cast("int"))
+    sums = rows.groupBy("source", "__range").agg(F.sum("size").alias("__sum"))
+    earlier = F.sum("__sum").over(Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = F.broadcast(sums.select("source", "__range", F.coalesce(earlier, F.lit(0)).alias("__earlier")))  # at most MOST_SOURCES * ranges rows
+    inside = F.sum("size").over(Window.partitionBy("source", "__range").orderBy("h", *order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", F.coalesce(inside, F.lit(0))).join(sums, ["source", "__range"])
+    return rows.withColumn("before", F.col("before") + F.col("__earlier")).drop("__range", "__earlier", "h", "size")
+
+
 def source_key(column: str):
     return F.lower(F.regexp_replace(F.col(column), r"(?U)^\s+|\s+$", ""))
 
@@ -87,19 +103,23 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     parts = F.broadcast(spark.createDataFrame(plans, "source string, quota bigint, size bigint, blocks bigint, full bigint, rest bigint"))
     docs = docs.join(parts, "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks"))).select("doc_id", "source", "n_tokens", "block")
     blocks = docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")).join(parts, "source")
-    order = Window.partitionBy("source").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block")
-    blocks = blocks.withColumn("upto", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.col("upto") - F.col("tokens")
+    blocks = cut(running(blocks.withColumn("h", F.xxhash64("block", F.lit(seed + 1))).withColumn("size", F.col("tokens")), ["block"]))
+    before = F.col("before")
+    upto = before + F.col("tokens")
     full = blocks.filter("full > 0").select("source", "block", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("full"))).alias("pass"), F.lit(None).cast("bigint").alias("take"))
-    partial = blocks.filter((F.col("rest") > 0) & (before < F.col("rest"))).select("source", "block", (F.col("full") + 1).alias("pass"), F.when(F.col("upto") > F.col("rest"), F.col("rest") - before).alias("take"))
+    partial = blocks.filter((F.col("rest") > 0) & (before < F.col("rest"))).select("source", "block", (F.col("full") + 1).alias("pass"), F.when(upto > F.col("rest"), F.col("rest") - before).alias("take"))
     copies = cut(full.unionByName(partial))
     numbers = {r[0]: r[1] for r in copies.groupBy("source").count().collect()}
     names = sorted(numbers)
     shards = max(1, math.ceil(sum(p[1] for p in plans) / shard_tokens))
     drawn = split_tree(np.array([numbers[n] for n in names], dtype=np.int64), shards, np.random.default_rng(seed))
-    ends = F.broadcast(spark.createDataFrame([(n, drawn[:, i].cumsum().tolist()) for i, n in enumerate(names)], "source string, ends array<bigint>"))
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("block", "pass", F.lit(seed + 2)), "block", "pass"))
-    copies = copies.withColumn("rank", rank).join(ends, "source").withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("rank")))).drop("ends", "rank")
+    # each shard's places in a source's order, one row a place, meet the copies by an equi-join
+    first = drawn.cumsum(0) - drawn
+    at, of = np.nonzero(drawn)
+    held = spark.createDataFrame(pd.DataFrame({"shard": at.astype(np.int32), "source": np.array(names, dtype=object)[of], "first": first[at, of], "held": drawn[at, of]}), "shard int, source string, first bigint, held bigint")
+    places = held.select("shard", "source", F.explode(F.sequence("first", F.col("first") + F.col("held") - 1)).alias("before"))
+    ranked = running(copies.withColumn("h", F.xxhash64("block", "pass", F.lit(seed + 2))).withColumn("size", F.lit(1).cast("bigint")), ["block", "pass"])
+    copies = ranked.join(places, ["source", "before"]).drop("before")
     # of a cut block, documents are taken in hashed order while each brings the sum nearer to the quota
     torn = docs.join(copies.filter("take is not null"), ["source", "block"])
     inside = Window.partitionBy("source", "block", "pass").orderBy(F.xxhash64("doc_id", F.lit(seed + 3)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -128,13 +128,29 @@ def pieces(block: Column) -> Column:
     return F.when(unit, F.array(block)).when(block.rlike(r"^\s*\d{1,9}[.)][^\S\n]"), listed).otherwise(F.split(prose, SEP))
 
 
-def with_starts(parts: Column) -> Column:
-    """Structs (start, part) of an array of strings that follow each other."""
-    starts = F.aggregate(
-        F.transform(parts, lambda p: F.length(p)), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")),
-    )["all"]
-    return F.filter(F.zip_with(starts, parts, lambda a, p: F.struct(a.alias("start"), p.alias("part"))), lambda x: x["part"].rlike(r"(?U)\S"))
+def running(items: Column) -> Column:
+    """Of a short array of numbers, what those ahead of each one sum up to; the growing array is copied at each step."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    return F.aggregate(items, empty, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))["all"]
+
+
+def with_starts(rows: DataFrame, keep: list[str], parts: str, to: str) -> DataFrame:
+    """Each string of the array ``parts`` as a row with a struct (start, part), where it is not blank.
+
+    Lengths are summed in groups of about the cube root of their count and the groups after one another: n to the power 4/3 in all.
+    Every array is a column before a function over another one reads it, as it would be made anew for each element otherwise.
+    """
+    size = F.size(parts)
+    width = F.greatest(F.lit(16), F.ceil(F.cbrt(size)).cast("int"))
+    lengths = rows.select(*keep, parts, F.transform(parts, lambda p: F.length(p)).alias("__lengths"), width.alias("__width"))
+    groups = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size), F.col("__width")), lambda i: F.slice("__lengths", i, F.col("__width")))
+    many = size > 64
+    grouped = lengths.select(*keep, parts, "__lengths", F.when(many, groups).alias("__groups"))
+    sums = grouped.select(*keep, parts, "__lengths", "__groups", F.when(many, F.transform("__groups", lambda g: F.aggregate(g, F.lit(0), lambda s, n: s + n))).alias("__sums"))
+    starts = F.flatten(F.zip_with("__groups", running(F.col("__sums")), lambda g, at: F.transform(running(g), lambda x: x + at)))
+    starts = F.when(many, starts).otherwise(running(F.col("__lengths")))
+    out = sums.select(*keep, F.explode(F.arrays_zip(starts.alias("start"), F.col(parts).alias("part"))).alias(to))
+    return out.filter(F.col(f"{to}.part").rlike(r"(?U)\S"))
 
 
 def sentences(df: DataFrame, key_cols: list[str], text_col: str = "text") -> DataFrame:
@@ -145,9 +161,9 @@ def sentences(df: DataFrame, key_cols: list[str], text_col: str = "text") -> Dat
     rows = df.filter(F.col(text_col).rlike(r"(?U)\S")).select(*key_cols, masked(F.col(text_col)).alias("__mask"))
     # arrays are made one step before they are used twice, so that nothing is worked out twice
     rows = rows.select(*key_cols, blocks(F.col("__mask")).alias("__parts"))
-    rows = rows.select(*key_cols, F.explode(with_starts(F.col("__parts"))).alias("__b"))
+    rows = with_starts(rows, key_cols, "__parts", "__b")
     rows = rows.select(*key_cols, F.col("__b.start").alias("__base"), pieces(F.col("__b.part")).alias("__parts"))
-    rows = rows.select(*key_cols, "__base", F.explode(with_starts(F.col("__parts"))).alias("__u"))
+    rows = with_starts(rows, [*key_cols, "__base"], "__parts", "__u")
     part = F.col("__u.part")
     rows = rows.select(*key_cols, (F.col("__base") + F.col("__u.start") + F.length(part)).alias("__end"), F.regexp_replace(part, F.lit(r"(?U)^\s+"), F.lit("")).alias("__bare"))
     rows = rows.select(*key_cols, (F.col("__end") - F.length("__bare")).cast("bigint").alias("start_pos"), F.regexp_replace("__bare", F.lit(r"(?U)\s+$"), F.lit("")).alias("__bare"))

@@ -390,3 +390,24 @@ def test_every_query_is_there():
 
     names = registry.queries()
     assert all(any(re.match(rf"p{n}_", q) for q in names) for n in (1, 2, 3, 5, 6, 7, 8, 9, 10))
+
+
+def test_sentences_of_a_long_list(spark):
+    lines = [f"- item {i}. two" for i in range(9_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    out = sentences.sentences(df, ["doc_id"]).orderBy("start_pos").collect()
+    at = 0
+    for row, line in zip(out, lines, strict=True):
+        assert (row.start_pos, row.end_pos, row.sentence) == (at, at + len(line), line)
+        at += len(line) + 1
+
+
+@pytest.mark.parametrize("ranges", [256, 4])
+def test_running_sums_of_a_source(spark, ranges):
+    rows = spark.range(500).select(F.when(F.col("id") % 10 < 8, "a").otherwise("b").alias("source"), "id", (F.col("id") % 7).alias("size"), F.xxhash64("id").alias("h"))
+    got = {r.id: r.before for r in mixing.running(rows, ["id"], ranges).collect()}
+    for source in "ab":
+        total = 0
+        for r in sorted((r for r in rows.collect() if r.source == source), key=lambda r: (r.h, r.id)):
+            assert got[r.id] == total
+            total += r.size
