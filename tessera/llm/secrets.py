@@ -9,8 +9,9 @@
 4. Each secret is replaced by text of the same length and alphabet (letters by x or X, digits by 0, all else as it is).
 
 Defined results: null and empty texts have none; texts without a finding come back unchanged; lines keep their breaks; of repeated rows each
-is treated alike, and the found rows are distinct. Texts of any length are read whole. The checksum inside some
-issuers' tokens is not enforced, as a revoked or re-issued format still has to be masked.
+is treated alike, and the found rows are distinct. Texts of any length are read whole, and so are
+key blocks. Where an issuer's format ends with a checksum (``checksum_holds``), a token with a good one needs no further signs; one with a wrong checksum
+still has to look random, as it may be damaged or of an older format, and a real secret must not stay readable.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import base64
 import binascii
 import json
 import re
+import string
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -32,7 +35,9 @@ from tessera.sources.tables import table
 FORMATS = re.compile(
     r"(?<![A-Za-z0-9_])(?:(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{16})|(?P<gh>gh[pousr]_[A-Za-z0-9]{36,})|(?P<ghfine>github_pat_[A-Za-z0-9_]{50,})|(?P<slack>xox[abeoprs]-[A-Za-z0-9-]{20,})"
     r"|(?P<pay>[sr]k_live_[A-Za-z0-9]{16,})|(?P<map>AIza[A-Za-z0-9_-]{35})|(?P<lab>glpat-[A-Za-z0-9_-]{20,})|(?P<npm>npm_[A-Za-z0-9]{36})|(?P<mail>SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,})"
-    r"|(?P<hub>hf_[A-Za-z0-9]{30,})|(?P<drop>dop_v1_[a-f0-9]{64})|(?P<jwt>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}))(?![A-Za-z0-9_])"
+    r"|(?P<hub>hf_[A-Za-z0-9]{30,})|(?P<drop>dop_v1_[a-f0-9]{64})|(?P<model>sk-(?:ant|proj|svcacct|or)-[A-Za-z0-9_-]{20,}|sk-[A-Za-z0-9]{20}T3BlbkFJ[A-Za-z0-9]{20})|(?P<index>pypi-AgE[A-Za-z0-9_-]{50,})"
+    r"|(?P<shop>shp(?:at|ca|pa|ss)_[a-fA-F0-9]{32})|(?P<till>sq0(?:atp|csp|idp)-[A-Za-z0-9_-]{22,})|(?P<hooksign>whsec_[A-Za-z0-9+/=_-]{24,})|(?P<oauth>GOCSPX-[A-Za-z0-9_-]{28})|(?P<bricks>dapi[a-f0-9]{32})|(?P<vault>hv[sb]\.[A-Za-z0-9_-]{24,})"
+    r"|(?P<chat>\d{8,10}:AA[A-Za-z0-9_-]{33})|(?P<age>AGE-SECRET-KEY-1[0-9A-Z]{58})|(?P<linear>lin_api_[A-Za-z0-9]{32,})|(?P<atlas>ATATT3[A-Za-z0-9_=-]{20,})|(?P<jwt>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}))(?![A-Za-z0-9_])"
 )
 #: Words in a name that speak of a credential, and words that tell it is something about one.
 SECRET_WORDS = set("password passwd pwd passphrase pass pw secret secrets token apikey accesskey credential credentials bearer auth authorization signing hmac jwt passcode".split())
@@ -40,7 +45,7 @@ KEY_WORDS = set("api access private secret signing encryption auth client shared
 ABOUT_WORDS = set("hint policy ref reference name names pattern regex mask masked label integrity checksum digest hash public verify verifier verification env type kind field placeholder example fingerprint expiry ttl".split())
 #: Keywords of the automaton, lower case: all words that the steps after it accept (each name with a key word holds "key"), and the formats' beginnings.
 KEYWORDS = sorted(SECRET_WORDS | set(
-    "key credential connect login log_in signin sign_in pair signature sig= ://  begin end private akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ xox sk_live_ rk_live_ sk-ant sk-proj eyj aiza glpat- npm_ sg. hf_ dop_v1_ basic connection cookie encryption".split()
+    "key credential connect login log_in signin sign_in pair signature sig= ://  begin end private akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ xox sk_live_ rk_live_ sk-ant- sk-proj- sk-svcacct- sk-or- t3blbkfj pypi-age shpat_ shpca_ shppa_ shpss_ sq0 whsec_ gocspx- dapi hvs. hvb. :aa lin_api_ atatt3 hooks.slack.com discord eyj aiza glpat- npm_ sg. hf_ dop_v1_ basic connection cookie encryption".split()
 ))
 #: What stands where a secret should be.
 PLACEHOLDER = re.compile(
@@ -55,14 +60,17 @@ NAME = re.compile(r"(?P<name>[A-Za-z_$][\w$.-]*)(?P<q>[\"']?)\s*\]?\s*(?P<type>:
 CALL = re.compile(r"(?:new\s+)?(?P<f>[A-Za-z_][\w.:]*!?)\s*\(\s*")
 FALLBACK = re.compile(r"[\w.\[\]\"'()]*(?:\b|\]|\))\s*(?:\|\||\?\?|\bor\b)\s*")
 URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://(?P<user>[^\s:/@\"'`<>]*):(?P<pass>[^\s@/\"'`<>]+)@")
-QUERY = re.compile(r"[?&](?:api[-_]?key|access[-_]?(?:key|token)|auth(?:[-_]token)?|token|secret|password|pwd|sig|signature|client_secret)=(?P<v>[^&\s\"'`#<>]+)", re.IGNORECASE)
+QUERY = re.compile(r"[?&](?:(?:api[-_]?)?key|access[-_]?(?:key|token)|auth(?:[-_]token)?|token|secret|password|pwd|sig|signature|client_secret)=(?P<v>[^&\s\"'`#<>]+)", re.IGNORECASE)
+#: Addresses of web hooks, whose last part lets anyone post.
+HOOK = re.compile(r"\bhooks\.slack\.com/(?:services|workflows)/T[A-Z0-9]{6,}/[AB][A-Z0-9]{6,}/(?P<v>[A-Za-z0-9]{16,})|\bdiscord(?:app)?\.com/api/webhooks/\d{15,}/(?P<w>[A-Za-z0-9_-]{40,})")
 HEADER = re.compile(r"\b(?P<kind>Basic|Bearer|Token|token|bearer|basic)\s+(?P<v>[A-Za-z0-9+/_.~=-]{12,})")
 NAMED_HEADER = re.compile(r"[\"']?\b(?:X-[A-Za-z-]*(?:Token|Key|Auth|Secret)|Authorization|PRIVATE-TOKEN)[\"']?\s*[:=,]\s*[\"']?(?P<v>[^\s\"',;]{12,})", re.IGNORECASE)
 LOGIN = re.compile(r"\b(?:login|log_in|logIn|signIn|sign_in|authenticate|connect|auth|basicAuth|basic_auth)\(\s*")
-COMMENT = re.compile(r"(?i)(?:^|\s)(?://|#|/\*|\*|--|<!--|;)\s.*?\b(?:pw|password|passwd|pwd|passphrase|secret|token|key|credentials?)\b[^:=\n]{0,80}[:=]\s*(?P<v>[^\s\"'`,;]+)")
+COMMENT = re.compile(r"(?i)(?:^|\s)(?://|#|/\*|\*|--|<!--|;)\s.*?\b(?:pw|password|passwd|pwd|passphrase|secret|token|key|credentials?)\b[^:=\n]*[:=]\s*(?P<v>[^\s\"'`,;]+)")
 BEGIN_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 END_KEY = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
+#: What a key block holds between its marks: escapes and line breaks, headers, and runs of its body.
+BLOCK_PART = re.compile(r"(?P<break>\\[nrt\\\"']|[\s\"'`+,;.()\[\]\\]+|//|#|\*)|(?P<header>[A-Z][A-Za-z-]+: [^\n\\\"']*)|(?P<body>[A-Za-z0-9+/=]+)|(?P<other>.)")
 UNQUOTED = re.compile(r"[^\s\"'`#{}\[\](),;|>]+(?=\s*(?:#.*)?$)")
 
 AUTOMATON = ahocorasick.Automaton()
@@ -109,6 +117,18 @@ def strong(value: str, phrase: bool = True) -> bool:
     return lower and upper and len(value) >= 24 and len(set(value)) >= 14 and not re.fullmatch(r"(?:[A-Z]?[a-z]+)+", value)
 
 
+def checksum_holds(value: str) -> bool:
+    """Whether the last six characters of a token of the code host's or package index's format are the CRC-32 of what lies before, in base 62."""
+    body = value.split("_", 1)[1] if "_" in value else ""
+    if len(body) != 36 or not body.isalnum():
+        return False
+    rest, digits = zlib.crc32(body[:-6].encode()), ""
+    while rest:
+        rest, digit = divmod(rest, 62)
+        digits = (string.digits + string.ascii_uppercase + string.ascii_lowercase)[digit] + digits
+    return digits.rjust(6, "0") == body[-6:]
+
+
 def signed_token(value: str) -> bool:
     parts = value.split(".")
     try:
@@ -219,7 +239,7 @@ def line_findings(text: str, start: int, end: int) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
     for m in FORMATS.finditer(text, start, end):
         value = m.group()
-        if (signed_token(value) if m.group("jwt") else not PLACEHOLDER.search(value) and len(set(value)) > 9 and bool(re.search(r"\d", value))):
+        if (signed_token(value) if m.group("jwt") else checksum_holds(value) or not PLACEHOLDER.search(value) and len(set(value)) > 9 and bool(re.search(r"\d", value))):
             spans.append(m.span())
     for m in URL.finditer(text, start, end):
         value = m.group("pass")
@@ -228,6 +248,9 @@ def line_findings(text: str, start: int, end: int) -> list[tuple[int, int]]:
     for m in QUERY.finditer(text, start, end):
         if strong(m.group("v")):
             spans.append(m.span("v"))
+    for m in HOOK.finditer(text, start, end):
+        if not PLACEHOLDER.search(m.group(m.lastgroup)):
+            spans.append(m.span(m.lastgroup))
     for m in HEADER.finditer(text, start, end):
         value = m.group("v")
         if (basic_pair(value) if m.group("kind").lower() == "basic" else strong(value)):
@@ -264,29 +287,55 @@ def line_findings(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return spans
 
 
+def key_body(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The runs of a key's body from ``start`` on, whatever their length, to ``end`` or to what no key block holds.
+
+    Words of the code around, which only follow a body, end it: a run below 16 characters counts if a separator ends it and a long one
+    comes before it, or if the key's end mark follows.
+    """
+    body: list[tuple[int, int]] = []
+    at = start
+    while at < end and (m := BLOCK_PART.match(text, at, end)):
+        at = m.end()
+        if m.group("other"):
+            break
+        if m.group("body"):
+            body.append(m.span("body"))
+    whole = text.startswith("-----END", at) or at >= end and text.startswith("-----END", end)
+    if not whole:  # the end mark is cut off: code may follow the last line, and a word of it may look like a body
+        while body and (body[-1][1] - body[-1][0] < 16 or text[body[-1][1] : body[-1][1] + 1] in ("_", "-", ":", "{", "}", "<", ">", "!", "@", "$")):
+            if len(body) > 1 and not re.search(r"[;{}()]|\n\s*\n", text[body[-2][1] : body[-1][0]]) and re.match(r"[\s\"'`\\]*(?:\Z|[\s\"'`]+[;,)]|\\)", text[body[-1][1] : body[-1][1] + 8]):
+                break  # a short last line
+            body.pop()
+    return body
+
+
 def key_block(text: str, start: int, end: int, line: str) -> list[tuple[int, int]]:
     """The body of a private key that begins or ends on this line, also if the other end is cut off."""
     m = BEGIN_KEY.search(line)
     if m:
-        stop = END_KEY.search(text, start + m.end())
-        limit = stop.start() if stop else min(len(text), start + m.end() + 8000)
-        area = text[start + m.end() : limit]
-        body = [(start + m.end() + b.start(), start + m.end() + b.end()) for b in BODY.finditer(area)]
-        return body if body and not PLACEHOLDER.search(area[:60].strip() or "...") else []
+        begin = start + m.end()
+        stop = END_KEY.search(text, begin)
+        other = text.find("-----BEGIN", begin)  # a block without an end does not reach into the next one
+        limit = stop.start() if stop and not 0 <= other < stop.start() else other if other >= 0 else len(text)
+        body = key_body(text, begin, limit)
+        long = any(b - a >= 16 for a, b in body)
+        return body if long and not PLACEHOLDER.search(text[begin : min(limit, begin + 60)].strip() or "...") else []
     m = END_KEY.search(line)
-    if m and not BEGIN_KEY.search(text, max(0, start - 8000), start + m.start()):
-        lines, at, body = [], start, []
-        while at > 0:
-            before = text.rfind("\n", 0, at - 1) + 1
-            row = text[before : at - 1]
-            b = re.fullmatch(r"\s*([A-Za-z0-9+/=]{16,})\s*", row)
-            if not b:
-                break
-            body.append((before + b.start(1), before + b.end(1)))
-            lines.append(row)
-            at = before
-        return body if len(body) >= 2 else []
-    return []
+    if not m:
+        return []
+    last = text.rfind("-----BEGIN", 0, start + m.start())
+    if last >= 0 and not text.find("-----END", last, start + m.start()) >= 0:
+        return []  # its beginning is there and was masked from there
+    body, at = [], start
+    while at > 0:
+        before = text.rfind("\n", 0, at - 1) + 1
+        b = re.fullmatch(r"[\s\"'`+,]*([A-Za-z0-9+/=]+)(?:\\n|[\s\"'`+,])*", text[before : at - 1])
+        if not b or len(b.group(1)) < 16 and body:
+            break
+        body.append((before + b.start(1), before + b.end(1)))
+        at = before
+    return body if sum(b - a >= 16 for a, b in body) >= 2 or len(body) >= 2 and body[-1][1] - body[-1][0] >= 48 else []
 
 
 def masked(text: str, spans: list[tuple[int, int]]) -> str:
