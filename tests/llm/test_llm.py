@@ -147,6 +147,43 @@ def test_provenance(spark):
     assert provenance.verdicts(files.limit(0), chunks.limit(0)).count() == 0
 
 
+def test_the_models_alone_name_files(spark):
+    """No path or comment tells anything here: mangled, template-like and foreign names do, against the file's own language and repository."""
+    random.seed(3)
+    nouns, verbs = "journal lease quota ranker schema socket spool ticket window anchor beacon".split(), "attach collect decode drain fetch group prune rotate seal trim".split()
+
+    def hand(style):
+        lines = []
+        for _ in range(12):
+            a, b, c = random.choice(verbs), random.choice(nouns), random.choice(nouns)
+            name = f"{a}_{b}_{c}" if style == "snake" else a + b.title() + c.title()
+            lines.append(f"export function {name}({b}, {c}) {{\n  const {random.choice(nouns)} = {random.choice(verbs)}({b}.{random.choice(nouns)}, {c});\n  return {random.choice(nouns)}.{random.choice(verbs)}({b});\n}}\n")
+        return "\n".join(lines)
+
+    def mangled():
+        pick = lambda: random.choice("abcdefghijklmnopqrstuvwxyz") + random.choice(["", random.choice("abcdefghijklmnop")])
+        return "\n".join(f"function {pick()}({pick()},{pick()}){{return {pick()}.{pick()}?{pick()}[{k}]:{pick()}({pick()})}}" for k in range(60))
+
+    template = "".join(f"export function readJournalField(m) {{\n  return m.fields[{k}];\n}}\n" for k in range(40))
+    licence = "// Copyright (c) 2019 the other authors\n"
+    texts = [(f"r/a{k}.js", "javascript", hand("camel")) for k in range(40)]
+    texts += [("r/m.js", "javascript", mangled()), ("r/t.js", "javascript", template), ("r/v.js", "javascript", licence + hand("snake")), ("r/own.js", "javascript", licence + hand("camel")), ("r/s.js", "javascript", hand("snake"))]
+    files, chunks = file_tables(spark, texts)
+    out = {r.file_id: (r.by_model, r.by_mark, r.kind) for r in provenance.verdicts(files, chunks).collect()}
+    assert [out[k] for k in range(40, 45)] == [("minified", None, "minified"), ("generated", None, "generated"), ("vendored", None, "vendored"), (None, None, None), (None, None, None)]
+    assert {out[k] for k in range(40)} == {(None, None, None)}
+
+
+def test_a_file_is_left_out_of_its_own_model():
+    counts = np.zeros(provenance.SIDE**3)
+    grams, own = np.array(provenance.trigrams("journal")), np.ones(8)
+    counts[grams] += own
+    alone = provenance.bits_without(counts, counts.reshape(-1, provenance.SIDE).sum(1), grams, own)
+    assert abs(alone - math.log2(provenance.SIDE)) < 1e-9
+    counts[grams] += own
+    assert provenance.bits_without(counts, counts.reshape(-1, provenance.SIDE).sum(1), grams, own) < 1.5
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 VALID = {
     "python": ["x = [a for a in b if a != 'c']\n\nasync def f(a, *, b: int = 2, **k) -> None:\n    try:\n        await g(a, *k)\n    except (A, B) as e:\n        raise C from e\n    else:\n        return {**k, 'x': 1}\n", "if x:\n    pass\nelif y: z = 1\nelse:\n    w = lambda a, b=1: a if b else (yield)\n", "@d(1)\nclass A(B, metaclass=C):\n    '''doc'''\n    x: int = 1\n    y = x[1:2, ::3]\n"],
