@@ -258,6 +258,29 @@ def test_separators_of_long_lists_count(language, before, after, trailing):
         assert [*bad.values()] == [False, not trailing, True, True], n
 
 
+def test_java_switches_and_python_clauses():
+    for case in ("case Integer i when i > 0 -> f(i);", "case 1, 2 -> { f(); }", "default -> throw new E();", "case R(int a, var b) -> a;", "case X: case Y: f(); break;"):
+        text = "class A { void m(Object o) { switch (o) { " + case + " } } }"
+        assert not syntax.problems("java", text), text
+    good = ["try:\n    a()\nexcept B:\n    c()\nelse:\n    d()\nfinally:\n    e()\n", "for x in y:\n    try:\n        a()\n    finally:\n        b()\nelse:\n    c()\n", "try: a()\nexcept: b()\n", "if a:\n    pass\nelif b:\n    pass\nelse:\n    pass\n"]
+    bad = ["try:\n    a()\nb()\n", "try:\n    a()\n", "if a:\n    b()\nelse:\n    c()\nelse:\n    d()\n", "try:\n    a()\nelse:\n    b()\n", "if a:\n    b()\nexcept C:\n    d()\n", "def f():\n    try:\n        a()\n    b()\n"]
+    assert [t for t in good if syntax.problems("python", t)] == [] and [t for t in bad if not syntax.problems("python", t)] == []
+
+
+@pytest.mark.parametrize(("language", "before", "after"), [("javascript", "f(", ");"), ("typescript", "const x = g(", ");"), ("java", "class A { void f() { g(", "); } }"), ("rust", "fn f() { g(", "); }"), ("python", "x = f(", ")\n"), ("go", "package a\nvar x = []int{", "}\n")])
+def test_items_with_commas_of_their_own(language, before, after):
+    from tessera.llm.chart import Grammar
+
+    grammar = Grammar("S -> L\nL -> X | X , L\nX -> i | < L >\nM -> ~ | N\nN -> n : X | N , n : X")
+    assert grammar.accepts("S", tuple("i,i,i,i,i,i".replace("", " ").split())) and grammar.accepts("S", tuple("i,<i,i>,i,<i>,i".replace("", " ").split()))
+    assert not grammar.accepts("S", tuple("i,i,i,i,i,i,".replace("", " ").split())) and not grammar.accepts("S", tuple("i,i,,i,i,i".replace("", " ").split()))
+    assert grammar.accepts("M", tuple("n:i,n:i,n:<i,i>,n:i".replace("", " ").split())) and not grammar.accepts("M", tuple("n:i,n:i,i,n:i".replace("", " ").split()))
+    for n in (3, 59, 60, 700):
+        items = ",".join(f"f(a{k}, {k})" for k in range(n))
+        assert not syntax.problems(language, before + items + after), n
+        assert syntax.problems(language, before + items + ",," + items + after), n
+
+
 def test_long_members_and_statements():
     members = ",".join(f'"k{i}":{i}' for i in range(60))
     assert not syntax.problems("json", "{" + members + "}")
