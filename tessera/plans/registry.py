@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import capsules, graphs, hierarchies, index, memory, relational, retrieval
+from tessera.plans import capsules, graphs, hierarchies, index, memory, relational, retrieval, scalars, understanding
 
-MODULES = [hierarchies, relational, retrieval, graphs, memory, capsules, index]
+MODULES = [hierarchies, relational, retrieval, graphs, memory, capsules, index, understanding, scalars]
 FLAGSHIP = "capsule"
 
 
