@@ -135,11 +135,17 @@ OTHER_PARTS = "architecture flow dependencies|interfaces types validation|tests
 
 
 def listed(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    """The words as one literal that is split when the plan is made: a literal for each would take longer to build than to run."""
+    return F.split(F.lit(" ".join(words)), " ") if words else F.array().cast("array<string>")
 
 
 def lookup(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for item in pairs.items() for x in item])
+    return F.str_to_map(F.lit(";".join(f"{k}:{v}" for k, v in pairs.items())), F.lit(";"), F.lit(":"))
+
+
+def synonyms_of(word: Column) -> Column:
+    found = lookup({w: " ".join(others) for w, others in SYNONYMS.items()})[word]
+    return F.when(found.isNotNull(), F.split(found, " ")).otherwise(F.array().cast("array<string>"))
 
 
 def tokens(query: Column) -> Column:
@@ -196,15 +202,13 @@ def budget_multiplier(query: Column) -> Column:
 
 def synonyms(words: Column) -> Column:
     """The words, lower case, and behind them the synonyms of each, every one once."""
-    known = F.create_map(*[x for word, others in SYNONYMS.items() for x in (F.lit(word), listed(others))])
     low = F.transform(words, F.lower)
-    return F.array_distinct(F.concat(low, F.flatten(F.transform(low, lambda w: F.coalesce(known[w], listed([]))))))
+    return F.array_distinct(F.concat(low, F.flatten(F.transform(low, synonyms_of))))
 
 
 def coverage_groups(words: Column) -> Column:
     """For each word an array of it and its synonyms."""
-    known = F.create_map(*[x for word, others in SYNONYMS.items() for x in (F.lit(word), listed(others))])
-    return F.transform(F.transform(words, F.lower), lambda w: F.concat(F.array(w), F.coalesce(known[w], listed([]))))
+    return F.transform(F.transform(words, F.lower), lambda w: F.concat(F.array(w), synonyms_of(w)))
 
 
 def is_broad_prose(query: Column) -> Column:

@@ -1,15 +1,22 @@
-"""Scoring of candidates, packing under a token budget, and confidence in the result."""
+"""Scoring of candidates and packing under a token budget.
+
+Packing is sequential by nature: each choice depends on what the ones before left over. So it runs in one Arrow batch a query, over a bounded top-k.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights of distance, centrality, recency, memory and export in each mode.
 MODES = {"debug": (1.0, 0.3, 1.5, 1.2, 0.2), "refactor": (0.7, 1.5, 0.5, 0.8, 1.0), "feature": (1.0, 1.0, 1.0, 1.0, 0.5), "review": (0.5, 1.2, 0.8, 1.0, 0.8)}
-#: Share of a symbol's full size that each compression level keeps.
-LEVEL_SHARE = {0: 1.0, 1: 0.5, 2: 0.2, 3: 0.06}
+#: What a level keeps of a symbol's full size where only that size is known; renderings are counted instead wherever there are texts.
+LEVEL_SHARE = (1.0, 0.5, 0.2, 0.06)
+#: Share of the budget for code, share of one-line symbols, use at which promotion ends, and symbols a file needs for a line of its own.
+CODE_SHARE, ONE_LINERS, FULL_ENOUGH, FILE_SYMBOLS = 0.8, 0.3, 0.85, 3
 #: Words of a query's intent; the first group with a word in the query decides.
 INTENTS = [("debug", "error|exception|bug|crash|fail|fails|failing|broken|fix|why"), ("task", "add|implement|create|build|refactor|change|update|remove|migrate|write"), ("broad", "architecture|overview|structure|flow|how does|explain|design|system")]
 
@@ -31,84 +38,258 @@ def level(score: Column, distance: Column, largest: Column) -> Column:
 
 
 def intent(query: Column) -> Column:
-    """A single identifier looks a symbol up; else the first group of words that matches; else narrow."""
+    """The short form, by three groups of words: the first one that matches; else narrow. ``functions.query.intent`` is the whole classification."""
     out = F.when(query.rlike(r"^\s*[\w.]*(?:[a-z][A-Z]|_)[\w.]*\s*$"), "symbol-lookup")
     for name, words in INTENTS:
         out = out.when(F.lower(query).rlike(rf"\b({words})\b"), name)
     return out.otherwise("narrow")
 
 
-def pack(candidates: DataFrame, budget: int) -> DataFrame:
-    """(query_id, symbol_id, level, tokens, position): greedy packing of (query_id, symbol_id, file_id, start_line, end_line, score, level, full_tokens).
+@dataclass
+class Item:
+    """One candidate; ``sizes`` are its tokens at levels 0 to 3."""
 
-    By score; a candidate that does not fit at its level is tried at the next ones, and skipped if it fits at none. Of two symbols one of which
-    contains the other at level 0 or 1 only the outer is kept. What is left goes to promotions by one level in the same order. Candidates of one query are one
-    group: callers bound them by a top-k, which is the feature here.
-    """
+    id: int
+    file: int
+    first: int
+    last: int
+    score: float
+    level: int
+    sizes: tuple[int, ...]
+    distance: int = 1
+    group: object = None
+    path: str = ""
+    name: str = ""
+    ui: bool = False
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "symbol_id"], ascending=[False, True], kind="stable")
-        left, kept = budget, []
-        for row in pdf.itertuples(index=False):
-            if any(k["file"] == row.file_id and k["a"] <= row.start_line and row.end_line <= k["b"] and k["level"] <= 1 for k in kept):
+
+@dataclass
+class Shelf:
+    """What has been packed so far, in order, under a budget that is never exceeded."""
+
+    budget: int
+    used: int = 0
+    at: dict[int, int] = field(default_factory=dict)
+    items: dict[int, Item] = field(default_factory=dict)
+
+    def put(self, item: Item, level: int) -> bool:
+        if item.id in self.at or self.used + item.sizes[level] > self.budget:
+            return False
+        self.at[item.id], self.items[item.id] = level, item
+        self.used += item.sizes[level]
+        return True
+
+    def promote(self, item: Item, level: int) -> bool:
+        more = item.sizes[level] - item.sizes[self.at[item.id]]
+        if more <= 0 or self.used + more > self.budget:
+            return False
+        self.at[item.id] = level
+        self.used += more
+        return True
+
+    def full(self, share: float) -> bool:
+        return self.used >= share * self.budget
+
+    def by_score(self, least: int, test=lambda item: True) -> list[Item]:
+        return sorted((i for i in self.items.values() if self.at[i.id] >= least and test(i)), key=lambda i: (-i.score, i.id))
+
+    def drop_contained(self) -> None:
+        """Symbols within another packed one of their file that is told at least as fully."""
+        files: dict[int, list[Item]] = {}
+        for item in self.items.values():
+            files.setdefault(item.file, []).append(item)
+        for items in files.values():
+            items.sort(key=lambda i: (i.first, -i.last, i.id))
+            open_: list[Item] = []
+            for item in items:
+                open_ = [o for o in open_ if o.last >= item.first]
+                if any(o.first < item.first and item.last <= o.last and self.at[o.id] <= self.at[item.id] for o in open_):
+                    self.used -= item.sizes[self.at.pop(item.id)]
+                    del self.items[item.id]
+                else:
+                    open_.append(item)
+
+
+def ranked_items(items: list[Item]) -> list[Item]:
+    return sorted(items, key=lambda i: (-i.score, i.id))
+
+
+def pack_plain(items: list[Item], budget: int) -> Shelf:
+    """By score, each at its own level or the next one that fits; then promotion, one-liners, and removal of what is contained.
+
+    The best pivot comes first and whole. At most three tenths of the candidates, or five, go in as one line at first.
+    """
+    order, shelf = ranked_items(items), Shelf(budget)
+    lines, most = 0, max(5, -(-len(order) * 3 // 10))
+    if order and order[0].distance == 0:
+        shelf.put(order[0], 0)
+    for item in order:
+        if item.id in shelf.at:
+            continue
+        for level in range(item.level, 4):
+            if level == 3 and lines >= most:
                 continue
-            for at in range(int(row.level), 4):
-                size = max(1, int(-(-row.full_tokens * LEVEL_SHARE[at] // 1)))
-                if size <= left:
-                    kept.append({"id": row.symbol_id, "file": row.file_id, "a": row.start_line, "b": row.end_line, "level": at, "tokens": size, "full": row.full_tokens})
-                    left -= size
+            if shelf.put(item, level):
+                lines += level == 3
+                break
+    if shelf.budget - shelf.used > 50:
+        for item in shelf.by_score(3):
+            any(shelf.promote(item, level) for level in (2, 1, 0))
+    for item in shelf.by_score(1):
+        if shelf.full(FULL_ENOUGH):
+            break
+        shelf.promote(item, 0)
+    for item in order:
+        if shelf.full(FULL_ENOUGH):
+            break
+        shelf.put(item, 3)
+    shelf.drop_contained()
+    return shelf
+
+
+def priority(items: list[Item]) -> float:
+    """Of a group: its best score, pivots and their neighbours, less for distance."""
+    n = len(items)
+    return max(i.score for i in items) + 2 * sum(i.distance == 0 for i in items) + 0.9 * sum(i.distance == 1 for i in items) - 0.35 * sum(i.distance for i in items) / n
+
+
+def pack_story(items: list[Item], budget: int, whole_budget: int) -> Shelf:
+    """Group by group of files that belong together, each with half as much again as its fair share; then the tail, promotion and refill."""
+    shelf = Shelf(budget)
+    if not items or budget <= 0:
+        return shelf
+    groups: dict[object, list[Item]] = {}
+    for item in items:
+        groups.setdefault(item.group if item.group is not None else -item.file, []).append(item)
+    first = sorted(groups.items(), key=lambda g: (-priority(g[1]), str(g[0])))[: max(1, min(len(groups), max(3, whole_budget // 800)))]
+    wholes, most_whole = 0, max(2, min(5, budget // 1200 + 1))
+    for at, (_, members) in enumerate(first):
+        if shelf.used >= int(budget * 0.9):
+            break
+        room = min(budget - shelf.used, int((budget - shelf.used) // max(1, len(first) - at) * 1.5))
+        members = sorted(members, key=lambda i: (i.distance != 0, -i.score, i.id))
+        best, begun = members[0].score, shelf.used
+        for item in members:
+            level = (0 if wholes < most_whole and item.score >= best * 0.5 else 1) if item.distance == 0 else 1 if item.score >= best * 0.65 else 2
+            if item.distance == 0 and item.ui and item.level > 0:
+                level = item.level
+            for k in range(level, 4):
+                if shelf.used - begun + item.sizes[k] <= room and shelf.put(item, k):
+                    wholes += k == 0
                     break
-        for k in kept:
-            if k["level"] > 0:
-                size = max(1, int(-(-k["full"] * LEVEL_SHARE[k["level"] - 1] // 1)))
-                if size - k["tokens"] <= left:
-                    left -= size - k["tokens"]
-                    k["level"], k["tokens"] = k["level"] - 1, size
-        return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]] * len(kept), "symbol_id": [k["id"] for k in kept], "level": [k["level"] for k in kept], "tokens": [k["tokens"] for k in kept], "position": range(len(kept))})
+    best = max((i.score for i in shelf.items.values()), default=0.0)
+    for item in shelf.by_score(2, lambda i: i.score >= best * 0.8):
+        if shelf.full(0.9):
+            break
+        shelf.promote(item, 0 if item.score >= best * 0.95 else 1)
+
+    def tail() -> list[Item]:
+        files = {i.file for i in shelf.items.values()}
+        worth = lambda i: i.score + {1: 2, 2: 0.25}.get(i.distance, 0) + (0 if i.file in files else 0.5)
+        return sorted((i for i in items if i.id not in shelf.at), key=lambda i: (-worth(i), i.distance, -i.score, i.id))
+
+    for item in tail():
+        shelf.put(item, 3)
+    for item in shelf.by_score(1, lambda i: i.distance > 0):
+        if shelf.full(FULL_ENOUGH):
+            break
+        shelf.promote(item, 0)
+    if not shelf.full(0.5):
+        known = {i.file for i in shelf.items.values() if shelf.at[i.id] <= 1}
+        for item in ranked_items([i for i in items if i.id not in shelf.at and i.file in known]):
+            if shelf.full(0.5):
+                break
+            shelf.put(item, 3 if shelf.full(0.35) else 2)
+    shelf.drop_contained()
+    for item in tail():
+        if shelf.full(FULL_ENOUGH):
+            break
+        shelf.put(item, 2 if item.distance <= 1 and item.score >= best * 0.65 else 3)
+    return shelf
+
 
-    return candidates.groupBy("query_id").applyInPandas(run, "query_id int, symbol_id bigint, level int, tokens bigint, position bigint")
+def file_lines(items: list[Item], shelf: Shelf) -> list[tuple[int, int]]:
+    """(file, tokens) of a line for each file with enough symbols left out, while they fit."""
+    left: dict[int, list[Item]] = {}
+    for item in items:
+        if item.id not in shelf.at:
+            left.setdefault(item.file, []).append(item)
+    least, out = (FILE_SYMBOLS if shelf.full(0.4) else 1), []
+    for file, members in left.items():
+        names = [i.name for i in members]
+        line = f"[file] {members[0].path}: {len(names)} symbols ({', '.join(names[:8])}{f', +{len(names) - 8} more' if len(names) > 8 else ''})"
+        size = -(-len(line) * 2 // 7)
+        if len(names) >= least and shelf.used + size <= shelf.budget:
+            out.append((file, size))
+            shelf.used += size
+    return out
 
 
-def confidence(found_terms: Column, asked_terms: Column, pivots: Column, used: Column, budget: int) -> Column:
-    """Coverage of the query's terms, a few pivots and a used budget give confidence between 0 and 1."""
-    cover = F.when(asked_terms > 0, found_terms / F.greatest(asked_terms, F.lit(1))).otherwise(0.0)
-    return F.round(0.6 * cover + 0.25 * F.least(F.lit(1.0), pivots / 5) + 0.15 * F.least(F.lit(1.0), used / budget), 6)
+def merged_items(results: list[tuple[list[Item], Shelf, set[int]]]) -> list[Item]:
+    """The items of several results, each once at its fullest (then best, then smallest) form, pivots and full ones of the first results first."""
+    best: dict[int, tuple] = {}
+    rank: dict[int, int] = {}
+    for number, (_, shelf, pivots) in enumerate(results):
+        for item in shelf.items.values():
+            level = shelf.at[item.id]
+            form = (level, -item.score, item.sizes[level])
+            if item.id not in best or form < best[item.id][0]:
+                best[item.id] = (form, item)
+            place = number * 10 + (0 if item.id in pivots else 1 if level <= 1 else 2)
+            rank[item.id] = min(rank.get(item.id, place), place)
+    return [item for _, item in sorted(best.values(), key=lambda x: (rank[x[1].id], x[1].distance != 0, -x[1].score, x[0][0], x[1].id))]
 
 
-def capsule(symbols: DataFrame, edges: DataFrame, queries: DataFrame, budget: int = 4000, now_ms: int = 1_760_000_000_000, mode: str = "feature", most: int = 300) -> tuple[DataFrame, DataFrame]:
-    """Budgeted retrieval for a batch of queries: pivots by lexical score, their neighbours to distance 2, scores, levels, packing.
+PACKED = "query_id int, kind string, symbol_id bigint, file_id bigint, level int, tokens bigint, position bigint"
 
-    ``symbols``: (id, file_id, name, signature, full_source, start_line, end_line, is_exported, centrality, last_seen); ``edges``: (src, dst).
-    Gives the packed rows and one row of assessment per query.
+
+def pack_queries(candidates: DataFrame, budget: int, story: bool = False) -> DataFrame:
+    """(query_id, kind, symbol_id, file_id, level, tokens, position): what goes into each query's answer, symbols first, then lines about files.
+
+    ``candidates``: (query_id, symbol_id, file_id, start_line, end_line, score, level, sizes) and, where there are any, distance, grouping, path, name,
+    ui and story (a query's own choice). Candidates of one query are one group: callers bound them by a top-k, which is the feature here. Code
+    gets four fifths of the budget. Ties end with the smaller id; no candidates give no rows.
     """
-    from tessera.functions import text as X
-
-    terms = queries.select("query_id", F.explode(X.words(F.col("query"))).alias("term")).distinct()
-    words = symbols.select("id", F.explode(F.array_union(X.split_identifier(F.col("name")), X.split_identifier(F.col("signature")))).alias("term"))
-    in_name = F.array_contains(X.split_identifier(F.col("name")), F.col("term"))
-    hits = words.join(terms, "term").join(symbols.select("id", "name"), "id").groupBy("query_id", "id").agg(F.sum(F.when(in_name, 2.0).otherwise(1.5)).alias("lexical"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lexical"), "id"))
-    pivots = hits.withColumn("rank", rank).filter("rank <= 8").select("query_id", "id", F.lit(0).alias("distance"), "lexical")
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    reach = pivots.select("query_id", "id", "distance")
-    front = reach
-    for step in (1, 2):
-        front = front.join(both, front.id == both.src).select("query_id", F.col("dst").alias("id"), F.lit(step).alias("distance")).distinct()
-        reach = reach.unionByName(front)
-    reach = reach.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
-    rows = reach.join(hits, ["query_id", "id"], "left").join(symbols.drop("name", "signature"), "id")
-    boost = 1 + F.coalesce("lexical", F.lit(0.0)) / 4
-    age = (now_ms - F.col("last_seen")) / 86_400_000
-    score = node_score(mode, F.col("distance"), F.col("centrality"), age, F.lit(0), F.col("is_exported"), boost, F.col("distance") == 0)
-    rows = rows.withColumn("score", F.round(score, 9)).withColumn("full_tokens", F.greatest(F.lit(1), X.estimate_tokens(F.col("full_source")))).drop("full_source")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    rows = rows.withColumn("place", place).filter(F.col("place") <= most).withColumn("level", level(F.col("score"), F.col("distance"), F.max("score").over(Window.partitionBy("query_id"))))
-    packed = pack(rows.select("query_id", F.col("id").alias("symbol_id"), "file_id", "start_line", "end_line", "score", "level", "full_tokens"), budget)
-    asked = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("asked"))
-    covered = packed.select("query_id", F.col("symbol_id").alias("id")).join(words, "id").join(terms, ["query_id", "term"]).groupBy("query_id").agg(F.countDistinct("term").alias("found"))
-    used = packed.groupBy("query_id").agg(F.sum("tokens").alias("used"), F.count(F.lit(1)).alias("symbols"), F.sum((F.col("level") == 0).cast("int")).alias("pivots"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    report = queries.join(asked, "query_id", "left").join(covered, "query_id", "left").join(used, "query_id", "left")
-    sure = confidence(zero("found"), zero("asked"), zero("pivots"), zero("used"), budget)
-    label = F.when(sure >= 0.7, "high").when(sure >= 0.4, "medium").otherwise("low")
-    return packed, report.select("query_id", intent(F.col("query")).alias("intent"), zero("symbols").alias("symbols"), zero("used").alias("used_tokens"), sure.alias("confidence"), label.alias("label"))
+
+    def items_of(pdf: pd.DataFrame) -> list[Item]:
+        out = []
+        for r in pdf.to_dict("records"):
+            out.append(Item(int(r["symbol_id"]), int(r["file_id"]), int(r["start_line"]), int(r["end_line"]), float(r["score"]), int(r["level"]), tuple(int(x) for x in r["sizes"]), int(r.get("distance", 1)), r.get("grouping"), r.get("path") or "", r.get("name") or "", bool(r.get("ui", False))))
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        items = items_of(pdf)
+        code = int(budget * CODE_SHARE)
+        as_story = bool(pdf["story"].iloc[0]) if "story" in pdf else story
+        shelf = pack_story(ranked_items(items), code, budget) if as_story else pack_plain(items, code)
+        lines = file_lines(ranked_items(items), shelf)
+        q = pdf["query_id"].iloc[0]
+        rows = [(q, "symbol", i.id, i.file, shelf.at[i.id], i.sizes[shelf.at[i.id]], k) for k, i in enumerate(shelf.items.values())]
+        rows += [(q, "file", None, f, None, n, len(rows) + k) for k, (f, n) in enumerate(lines)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")]).astype({"symbol_id": "Int64", "level": "Int32"})
+
+    return candidates.groupBy("query_id").applyInPandas(run, PACKED)
+
+
+def merge_queries(candidates: DataFrame, budget: int) -> DataFrame:
+    """One answer for each query from its sub-queries: (query_id, sub, share, ... as for ``pack_queries``), each packed in its share, merged and packed again."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        results = []
+        for _, part in pdf.sort_values("sub").groupby("sub", sort=True):
+            items = [Item(int(r["symbol_id"]), int(r["file_id"]), int(r["start_line"]), int(r["end_line"]), float(r["score"]), int(r["level"]), tuple(int(x) for x in r["sizes"]), int(r.get("distance", 1)), r.get("grouping"), r.get("path") or "", r.get("name") or "") for r in part.to_dict("records")]
+            own = int(budget * float(part["share"].iloc[0]))
+            results.append((items, pack_story(ranked_items(items), int(own * CODE_SHARE), own), {i.id for i in items if i.distance == 0}))
+        items = merged_items(results)
+        shelf = pack_story(items, int(budget * CODE_SHARE), budget)
+        rows = [(pdf["query_id"].iloc[0], "symbol", i.id, i.file, shelf.at[i.id], i.sizes[shelf.at[i.id]], k) for k, i in enumerate(shelf.items.values())]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")]).astype({"symbol_id": "Int64", "level": "Int32"})
+
+    return candidates.groupBy("query_id").applyInPandas(run, PACKED)
+
+
+def pack(candidates: DataFrame, budget: int) -> DataFrame:
+    """(query_id, symbol_id, level, tokens, position) where only full sizes are known: (query_id, symbol_id, file_id, start_line, end_line, score, level, full_tokens)."""
+    sizes = F.array(*[F.greatest(F.lit(1), F.ceil(F.col("full_tokens") * share)).cast("bigint") for share in LEVEL_SHARE])
+    rows = pack_queries(candidates.withColumn("sizes", sizes), budget)
+    return rows.filter("kind = 'symbol'").select("query_id", "symbol_id", "level", "tokens", "position")
