@@ -69,13 +69,19 @@ def corrected_terms(index: DataFrame, terms: DataFrame, most: int = 2) -> DataFr
 
 
 def with_fallback(index: DataFrame, queries: DataFrame, limit: int = 20, least: int = 3) -> DataFrame:
-    """BM25; queries with fewer than ``least`` hits get the trigram-expanded layer, and then the corrected one; first layers go first."""
+    """BM25; queries with fewer than ``least`` hits get the trigram-expanded layer, and then the corrected one; first layers go first.
+
+    Each layer is worked out for the queries alone that the layers before left short.
+    """
     index, terms = cut(index), query_terms(queries)  # the index is read by every layer
-    layers = [bm25(index, terms, limit), bm25(index, expanded_terms(index, terms), limit), bm25(index, corrected_terms(index, terms).select("query_id", F.col("nearest").alias("term")), limit)]
-    out = cut(layers[0].withColumn("layer", F.lit(1)))
-    for number, layer in enumerate(layers[1:], 2):
-        full = out.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("query_id")
-        more = layer.join(full, "query_id", "left_anti").join(out.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    widened = [lambda t: expanded_terms(index, t), lambda t: corrected_terms(index, t).select("query_id", F.col("nearest").alias("term"))]
+    out = cut(bm25(index, terms, limit).withColumn("layer", F.lit(1)))
+    for number, widen in enumerate(widened, 2):
+        full = cut(out.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("query_id"))
+        short = terms.join(full, "query_id", "left_anti")
+        if not short.limit(1).count():
+            break
+        more = bm25(index, widen(short), limit).join(out.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
         out = cut(out.unionByName(more.withColumn("layer", F.lit(number))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("layer", "rank"))
     return out.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= limit).select("query_id", "doc_id", "score", "rank", "layer")
@@ -90,18 +96,67 @@ def fuse(lists: list[tuple[DataFrame, float]], k: int = FUSION_K, limit: int | N
     return ranked(union.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score")), limit)
 
 
-def memory_search(docs: DataFrame, queries: DataFrame, scope_weights: dict[str, float], limit: int = 10) -> DataFrame:
-    """Fallback search fused with the search on synonyms' terms, times confidence and the scope's weight.
+def rrf_search(index: DataFrame, asks: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score, rank): BM25 and its trigram-expanded form fused, for asks (query_id, term, most); one plan for all of them."""
+    terms = asks.select("query_id", "term")
+    most = asks.groupBy("query_id").agg(F.max("most").alias("most"))
+    wide = expanded_terms(index, terms)
+    added = wide.join(terms.distinct(), ["query_id", "term"], "left_anti").select("query_id").distinct()
+    lists = [bm25(index, terms, None), bm25(index, wide.join(added, "query_id", "left_semi"), None)]
+    lists = [x.join(F.broadcast(most), "query_id").filter("rank <= most").drop("most") for x in lists]
+    return fuse([(x, 1.0) for x in lists]).join(F.broadcast(most), "query_id").filter("rank <= most").drop("most")
+
 
-    ``docs``: (doc_id, text, scope, confidence, active). Only active documents come out.
+def memory_search(docs: DataFrame, queries: DataFrame, scope_weights: dict[str, float], limit: int = 20, terms_of=None, passive_ttl_days: float = 7.0) -> DataFrame:
+    """(query_id, doc_id, score, rank): notes for queries by words and their synonyms, times confidence and the scope's weight.
+
+    ``docs``: (doc_id, text, scope, confidence, stale, age_days). A broad query in prose is asked with its synonyms and word by word, the first list that
+    has a note deciding its score; others with synonyms, fused with the plain query where that differs. Stale and expired passive notes never come
+    out. Queries left without any get the fuzzy layer. ``terms_of`` makes terms of a text column (words without stop words by default).
     """
-    index = cut(postings(docs))
-    base = with_fallback(index, queries)
-    wide = bm25(index, expanded_terms(index, query_terms(queries)), 60)
-    fused = fuse([(base, 1.0), (wide, 1.0)])
+    from tessera.functions import query as Q
+
+    terms_of = terms_of or X.words
+    usable = docs.filter(~F.coalesce("stale", F.lit(False)) & ~((F.col("scope") == "passive") & (F.col("age_days") > passive_ttl_days)))
+    index = cut(postings(docs.select("doc_id", "text")) if terms_of is X.words else postings_of(docs, terms_of))
+    low = F.filter(F.split(F.lower(F.trim("query")), r"\s+"), lambda w: w != "")
+    wide = F.array_join(Q.synonyms(low), " ")
+    q = queries.select("query_id", F.lower("query").alias("query"), Q.is_broad_prose(F.col("query")).alias("broad"), low.alias("low")).withColumn("wide", wide)
+    # asks of one query: 0 with synonyms, 1 plain, from 10 on word by word; all in one batch
+    asks = F.concat(
+        F.array(F.struct(F.lit(0).alias("sub"), F.col("wide").alias("text"), F.lit(limit * 3).alias("most"))),
+        F.when(~F.col("broad") & (F.col("wide") != F.col("query")), F.array(F.struct(F.lit(1).alias("sub"), F.col("query").alias("text"), F.lit(limit * 2).alias("most")))).otherwise(F.expr("cast(array() as array<struct<sub:int,text:string,most:int>>)")),
+        F.when(F.col("broad"), F.filter(F.transform("low", lambda w, i: F.struct((i + 10).cast("int").alias("sub"), w.alias("text"), F.lit(limit).alias("most"))), lambda a: F.length(a["text"]) >= 4)).otherwise(F.expr("cast(array() as array<struct<sub:int,text:string,most:int>>)")),
+    )
+    asks = q.select(F.col("query_id").alias("of"), "broad", F.explode(asks).alias("a")).select("of", "broad", "a.*").withColumn("query_id", F.col("of") * 1000 + F.col("sub"))
+    found = rrf_search(index, asks.select("query_id", "most", F.explode(terms_of(F.col("text"))).alias("term")))
+    found = cut(found.join(F.broadcast(asks.select("query_id", "of", "sub", "broad")), "query_id"))
+    first = found.filter("broad").groupBy("of", "doc_id").agg(F.min_by("score", "sub").alias("score"))
+    rest = found.filter("not broad")
+    twice = rest.filter("sub = 1").select("of").distinct().withColumn("both", F.lit(True))
+    rest = rest.join(F.broadcast(twice), "of", "left").groupBy("of", "doc_id").agg(F.when(F.first(F.coalesce("both", F.lit(False))), F.sum(1.0 / (FUSION_K + F.col("rank")))).otherwise(F.max("score")).alias("score"))
     weight = F.coalesce(F.create_map(*[F.lit(x) for item in scope_weights.items() for x in item])[F.col("scope")], F.lit(1.0))
-    out = fused.join(docs.filter("active").select("doc_id", "scope", "confidence"), "doc_id").select("query_id", "doc_id", F.round(F.col("score") * F.col("confidence") * weight, 9).alias("score"))
-    return ranked(out, limit)
+    out = first.unionByName(rest).withColumnRenamed("of", "query_id").join(usable.select("doc_id", "scope", "confidence"), "doc_id").select("query_id", "doc_id", F.round(F.col("score") * F.col("confidence") * weight, 9).alias("score"))
+    out = cut(out)
+    missed = queries.join(out.select("query_id").distinct(), "query_id", "left_anti")
+    fuzzy = fuzzy_fallback(usable, missed).join(usable.select("doc_id", "scope", "confidence"), "doc_id").select("query_id", "doc_id", F.round(F.col("score") * F.col("confidence") * weight, 9).alias("score"))
+    return ranked(out.unionByName(fuzzy), limit)
+
+
+def postings_of(docs: DataFrame, terms_of) -> DataFrame:
+    """As ``postings``, with terms made by ``terms_of``."""
+    rows = docs.select("doc_id", terms_of(F.col("text")).alias("terms")).select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    return rows.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def without(index: DataFrame, gone: DataFrame) -> DataFrame:
+    """The index without some documents (doc_id); its statistics are those of what is left."""
+    return index.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def reindexed(index: DataFrame, docs: DataFrame) -> DataFrame:
+    """The index with the given documents' texts in place of their old ones; a document is never counted twice."""
+    return without(index, docs).unionByName(postings(docs))
 
 
 def fuzzy_fallback(docs: DataFrame, queries: DataFrame) -> DataFrame:

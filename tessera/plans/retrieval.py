@@ -74,10 +74,33 @@ def rrf_fuse(s, d):
     return R.fuse([(text, 1.0), (newest.withColumn("rank", rank).filter("rank <= 50"), 1.0)], limit=20)
 
 
+def note_rows(s, d):
+    """Documents as notes: the source is the scope, the length gives a confidence, notes without a language are stale, memory notes are passive."""
+    scope = F.when(F.lower(F.trim("source")) == "memory-notes", "passive").otherwise(F.lower(F.trim("source")))
+    age = F.datediff(F.lit("2025-06-01").cast("date"), F.col("created_at").cast("date")).cast("double")
+    return table(s, d, "documents").select("doc_id", "text", scope.alias("scope"), (F.coalesce("n_chars", F.lit(0)) % 100 / 100).alias("confidence"), F.col("lang").isNull().alias("stale"), age.alias("age_days"))
+
+
 def memory_search(s, d):
-    """Documents as notes: the source is the scope, the length gives a confidence, notes without a language are inactive."""
-    rows = table(s, d, "documents").select("doc_id", "text", F.lower(F.trim("source")).alias("scope"), (F.coalesce("n_chars", F.lit(0)) % 100 / 100).alias("confidence"), F.col("lang").isNotNull().alias("active"))
-    return R.memory_search(rows, asked(s), SCOPES)
+    return R.memory_search(note_rows(s, d), asked(s), SCOPES)
+
+
+def store_search(s, d):
+    """The search in layers without weights: active notes only, at most twenty a query."""
+    hits = R.with_fallback(R.postings(docs(s, d)), asked(s), 60)
+    return R.ranked(hits.drop("rank").join(note_rows(s, d).filter("not stale").select("doc_id"), "doc_id", "left_semi"), 20).select("query_id", "doc_id", "score", "rank", "layer")
+
+
+def index_deletion(s, d):
+    """Statistics of the index after every third document has gone."""
+    left = R.without(R.postings(docs(s, d)), docs(s, d).filter("doc_id % 3 = 0"))
+    return left.select("doc_id", "dl").distinct().agg(F.count(F.lit(1)).alias("doc_count"), F.round(F.avg("dl"), 6).alias("avg_dl"))
+
+
+def note_update(s, d):
+    """Document frequency of terms after notes were edited: each even one's text is that of its scope and its first line."""
+    edited = table(s, d, "documents").filter("doc_id % 2 = 0 and text is not null").select("doc_id", F.concat_ws(" ", F.substring_index("text", "\n", 1), F.lower(F.trim("source"))).alias("text"))
+    return R.reindexed(R.postings(docs(s, d)), edited).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def fuzzy_fallback(s, d):
@@ -185,7 +208,7 @@ def hybrid_rank(s, d):
     return R.fuse([(exact, 2.0), (lexical, 1.0), (vector, 1.0)], limit=20)
 
 
-QUERIES = {f.__name__: f for f in (identifier_split, term_frequency, stemmed_terms, stem_examples, corpus_stats, bm25_topk, bm25_expanded, term_correction, bm25_fallback, rrf_fuse, memory_search, fuzzy_fallback, trigram_similarity, fuzzy_match, symbol_search, term_idf, content_fallback, lexical_score, markdown_sections, path_scalars, text_scalars, cosine_topk, int8_quantize, int8_topk, hybrid_rank)}
+QUERIES = {f.__name__: f for f in (identifier_split, term_frequency, stemmed_terms, stem_examples, corpus_stats, bm25_topk, bm25_expanded, term_correction, bm25_fallback, rrf_fuse, memory_search, store_search, index_deletion, note_update, fuzzy_fallback, trigram_similarity, fuzzy_match, symbol_search, term_idf, content_fallback, lexical_score, markdown_sections, path_scalars, text_scalars, cosine_topk, int8_quantize, int8_topk, hybrid_rank)}
 STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
 Q = "(values " + ", ".join(f"({i}, '{t}')" for i, t in ASKED) + ") q(query_id, query)"
 WORDS = "list_filter(string_split_regex(lower({}), '[^A-Za-z0-9_]+'), lambda w: length(w) > 0 and not list_contains(" + STOP + ", w))"
@@ -216,6 +239,8 @@ SQL = {
     "identifier_split": f"select name, array_to_string({ORDERED.format(IDENT)}, ' ') words from (select distinct name from symbols)",
     "term_frequency": f"with {POST} select term, count(*) df, cast(sum(tf) as bigint) tf from p group by 1",
     "stem_examples": "select * from (values ('caching','cach'),('running','run'),('authentication','authent'),('validation','valid'),('connections','connect'),('management','manag'),('a','a'),('an','an'),('db','db'),('jwt','jwt'),('handler','handler')) t(word, stem)",
+    "index_deletion": f"with {POST} select count(*) doc_count, round(avg(dl), 6) avg_dl from (select distinct doc_id, dl from p where doc_id % 3 <> 0)",
+    "note_update": "with u as (select doc_id, case when doc_id % 2 = 0 then split_part(text, chr(10), 1) || ' ' || lower(trim(source)) else text end x from documents where text is not null), t as (select distinct doc_id, unnest(" + WORDS.format("x") + ") term from u) select term, count(*) df from t group by 1",
     "corpus_stats": f"with {POST} select doc_count, round(avg_dl, 6) avg_dl from st",
     "bm25_topk": f"with {POST}, {TERMS} select * from {bm25_sql('qt', 20)}",
     "bm25_expanded": f"with {POST}, {TERMS}, {EXPANDED} select * from {bm25_sql('ex', 20)}",

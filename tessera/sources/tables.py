@@ -26,12 +26,13 @@ def scan_tree(spark: SparkSession, root: str, glob: str = "*", most_bytes: int =
 
 
 #: Directories that are never indexed, and paths that hold secrets.
-IGNORED = "node_modules .git dist build out coverage .next .nuxt .cache .turbo vendor target __pycache__ .venv venv .idea .vscode tmp .svelte-kit .parcel-cache .output".split()
+IGNORED = "node_modules dist build .git .next coverage __pycache__ .mypy_cache .turbo .cache venv .venv target .tox vendor .bundle .worktrees __fixtures__ __snapshots__".split()
 SECRET_PATHS = r"(?i)(^|/)\.env(\.[^/]*)?$|(^|/)credentials\.json$|(^|/)secrets?/|\.(pem|key)$"
 #: Languages by extension.
 LANGUAGES = {
-    ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".py": "python", ".go": "go", ".rs": "rust", ".java": "java", ".c": "c", ".h": "c",
-    ".cpp": "cpp", ".hpp": "cpp", ".cs": "csharp", ".rb": "ruby", ".php": "php", ".swift": "swift", ".kt": "kotlin", ".md": "markdown", ".mdx": "markdown", ".yaml": "yaml", ".yml": "yaml", ".json": "json", ".toml": "toml", ".ini": "ini",
+    ".ts": "typescript", ".tsx": "tsx", ".mts": "typescript", ".cts": "typescript", ".js": "javascript", ".jsx": "jsx", ".mjs": "javascript", ".cjs": "javascript", ".py": "python", ".go": "go", ".rs": "rust", ".java": "java", ".c": "c", ".h": "c",
+    ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hxx": "cpp", ".hh": "cpp", ".cs": "csharp", ".rb": "ruby", ".rake": "ruby", ".sh": "bash", ".bash": "bash", ".php": "php",
+    ".md": "markdown", ".markdown": "markdown", ".yaml": "yaml", ".yml": "yaml", ".json": "json", ".toml": "toml", ".ini": "ini",
 }
 
 
