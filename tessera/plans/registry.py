@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import assessment, capsules, channels, graphs, hierarchies, index, ingest, memory, relational, retrieval, scalars, understanding
+from tessera.plans import assessment, capsules, channels, explore, graphs, hierarchies, index, ingest, memory, relational, retrieval, scalars, understanding
 
-MODULES = [hierarchies, relational, retrieval, graphs, memory, capsules, index, understanding, scalars, assessment, channels, ingest]
+MODULES = [hierarchies, relational, retrieval, graphs, memory, capsules, index, understanding, scalars, assessment, channels, ingest, explore]
 FLAGSHIP = "capsule"
 
 
