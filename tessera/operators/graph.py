@@ -46,26 +46,45 @@ def weighted_distances(edges: DataFrame, seeds: DataFrame, most_cost: float, hop
     return best
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
-    """(id, rank): parallel edges count, edges with a missing end are dropped, dangling mass is spread evenly; ranks sum to 1."""
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6, together: int = 5) -> DataFrame:
+    """(id, rank): parallel edges count, edges with a missing end are dropped, dangling mass is spread evenly; ranks sum to 1.
+
+    The ranks after k rounds are a sum of v_j = (damping * links)^j applied to ones, with weights that follow from what each v_j loses at dangling nodes.
+    So rounds only append v_j to an array, none waits for a sum on the driver, and ``together`` rounds are one job; their change is looked at after each job.
+    """
     nodes = nodes.select("id").distinct()
     edges = edges.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    links = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")).join(out, "src").select("src", "dst", (F.col("times") / F.col("out")).alias("share")))
-    n = nodes.count()
+    counted = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
+    out = Window.partitionBy("src")
+    links = cut(counted.select("src", "dst", (damping * F.col("times") / F.sum("times").over(out)).alias("share")))
+    ends = links.select(F.col("src").alias("id"), F.lit(True).alias("has_out")).distinct()
+    state = cut(nodes.join(ends, "id", "left").select("id", F.coalesce("has_out", F.lit(False)).alias("has_out"), F.array(F.lit(1.0)).alias("v")))
+    n = state.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    ranks = cut(nodes.join(out.select(F.col("src").alias("id"), F.lit(1).alias("has_out")), "id", "left").withColumn("rank", F.lit(1.0 / n)))
-    lost = ranks.filter("has_out is null").count() / n
-    for _ in range(rounds):
-        got = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        new = cut(ranks.join(got, "id", "left").select("id", "has_out", F.col("rank").alias("old"), ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank")))
-        # one pass tells how far the ranks moved and what the next round has to spread
-        change, lost = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("has_out").isNull(), F.col("rank"))), F.lit(0.0))).first()
-        ranks = new.drop("old")
-        if change < tolerance:
-            break
-    return ranks.select("id", "rank")
+    done, lost, weights = 0, [], [1.0 / n]
+    while True:
+        steps, held = min(together, rounds - done), []
+        for _ in range(steps):
+            got = links.join(state.select(F.col("id").alias("src"), F.element_at("v", -1).alias("x")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("x")).alias("got"))
+            state = state.join(got, "id", "left").select("id", "has_out", F.concat("v", F.array(F.coalesce("got", F.lit(0.0)))).alias("v")).persist()
+            held.append(state)
+        state = cut(state)
+        for df in held:
+            df.unpersist()
+        sums = state.filter(~F.col("has_out")).agg(*[F.coalesce(F.sum(F.get("v", F.lit(j))), F.lit(0.0)) for j in range(done + steps)]).first() if done + steps else []
+        lost = list(sums)
+        before = weights
+        # weights of v_0, v_1, ... in the ranks of each round
+        weights = [1.0 / n]
+        for k in range(done + steps):
+            before = weights
+            mass = sum(w * s for w, s in zip(weights, lost, strict=False))
+            weights = [((1 - damping) + damping * mass) / n, *weights]
+        done += steps
+        weigh = lambda ws: sum((F.get("v", F.lit(j)) * w for j, w in enumerate(ws)), F.lit(0.0))
+        if done >= rounds or tolerance > 0 and state.agg(F.sum(F.abs(weigh(weights) - weigh(before)))).first()[0] < tolerance:
+            return state.select("id", weigh(weights).alias("rank"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
