@@ -174,7 +174,7 @@ def verdicts(files: DataFrame, chunks: DataFrame) -> DataFrame:
             out.append(bits_without(*shared.value[t], np.asarray(g, dtype=np.int64), np.asarray(c, dtype=float)) if len(g) else 0.0)
         return pd.Series(out)
 
-    scored = rows.withColumn("bits", entropy("tongue", "grams", "counts")).drop("grams", "counts")
+    scored = cut(rows.withColumn("bits", entropy("tongue", "grams", "counts")).drop("grams", "counts"))  # narrow rows, read three times below
     # what is usual in each language without the file itself, or in all where a language has no other file: at most MOST_LANGUAGES + 1 rows, and one
     scored = scored.withColumn("long_packed", F.when(F.col("names") >= TEMPLATE_NAMES, F.col("packed")))
     sums = [F.sum(c).alias(f"tongue_{c}") for c in ("bits", "long_packed")] + [F.count(c).alias(f"tongue_n_{c}") for c in ("bits", "long_packed")]
