@@ -135,7 +135,7 @@ def memory_search(docs: DataFrame, queries: DataFrame, scope_weights: dict[str,
     rest = found.filter("not broad")
     twice = rest.filter("sub = 1").select("of").distinct().withColumn("both", F.lit(True))
     rest = rest.join(F.broadcast(twice), "of", "left").groupBy("of", "doc_id").agg(F.when(F.first(F.coalesce("both", F.lit(False))), F.sum(1.0 / (FUSION_K + F.col("rank")))).otherwise(F.max("score")).alias("score"))
-    weight = F.coalesce(F.create_map(*[F.lit(x) for item in scope_weights.items() for x in item])[F.col("scope")], F.lit(1.0))
+    weight = F.coalesce(F.create_map(*[F.lit(x) for item in scope_weights.items() for x in item])[F.col("scope")], F.lit(1.0)) if scope_weights else F.lit(1.0)
     out = first.unionByName(rest).withColumnRenamed("of", "query_id").join(usable.select("doc_id", "scope", "confidence"), "doc_id").select("query_id", "doc_id", F.round(F.col("score") * F.col("confidence") * weight, 9).alias("score"))
     out = cut(out)
     missed = queries.join(out.select("query_id").distinct(), "query_id", "left_anti")
