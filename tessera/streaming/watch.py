@@ -21,15 +21,16 @@ def suppressed(events: DataFrame, keys: list[str], time: str = "ts", within: str
 
 
 def newest(rows: DataFrame, key: str, time: str) -> DataFrame:
-    """The row of each key with the largest time: an older parse never overwrites a newer one."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(time)))
+    """The row of each key with the largest time: an older parse never overwrites a newer one. Of equal times the larger hash of the row stays, at every run."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(time), F.desc(F.xxhash64(*rows.columns))))
     return rows.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
 
 
 def apply_changes(stream: DataFrame, target: str, key: str, time: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None):
     """Start a query that merges each batch of changed rows into the Parquet folders below ``target``.
 
-    Each batch writes a new version folder, so a batch that is run again after a failure gives the same rows; ``after`` gets the changed rows.
+    Each batch writes a new version folder, so a batch that is run again after a failure gives the same rows; versions that no batch can
+    need again are removed. ``after`` gets the changed rows.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -38,6 +39,9 @@ def apply_changes(stream: DataFrame, target: str, key: str, time: str, checkpoin
         older = f"{target}/v={number - 1}"
         rows = newest(spark.read.parquet(older).unionByName(changed), key, time) if number else changed
         rows.write.mode("overwrite").parquet(f"{target}/v={number}")
+        if number >= 2:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
         if after:
             after(changed, number)
 
