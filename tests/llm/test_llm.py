@@ -289,6 +289,35 @@ def test_long_members_and_statements():
     assert syntax.problems("python", "x = [1, 2, 3, 4, y for y in z]\n")
 
 
+def test_repairs_look_at_everything():
+    def cost(language, text):
+        return sum(c for *_, c in syntax.problems(language, text))
+
+    # every line, the whole line, what is in brackets, and what follows an unmatched one
+    assert cost("python", "x = = 1\n" * 12) == 12
+    assert cost("python", "x = " + " + ".join("abcdefghijklmnopq") + " r s t u\n") == 2  # q + s + u
+    assert cost("python", "f(a b c d)\n") == 2
+    assert cost("python", "x = )\ny = = 1\n") == 2 and cost("python", "x = f(a\ny = 1\nz = = 2\n") == 2
+    assert cost("python", "def f():\n    a = 1\n        b = 2\n        c = 3\n    d = = 4\n") == 2
+    assert syntax.problems("python", "x = (a and not b or c)\n") == []
+    # every statement, at any distance from the first error
+    assert cost("javascript", "const x = = 1;\n" * 9) == 9 and cost("java", "class A { " + "int x = = 1; f(); int y() { return 1; } " * 5 + "}") >= 5
+    assert cost("javascript", "x = " + " + ".join("abcdefghijklmnopq") + " + ; y = (1 2 3);") == 2
+    assert cost("java", "class A { void m() { f(); } void n() { g(; } int k() { return = 1; } }") == 2
+    assert cost("java", "class A { void m() { f(); int k() { return 1; } int l() { return 2; } }") == 1  # one brace
+    assert cost("json", "[" + ",".join("1" * 400) + ",,2,3" + ",4" * 300 + ",,5]") == 2
+    assert cost("yaml", "a: b: c\nd: 1\ne: f: g\n") == 2 and cost("yaml", "a: [1, 2\nb: c: d\n") == 2
+    assert cost("go", "package p\n<<<<<<< a\nvar x = = 1\n=======\nvar x = 1 1 1\n>>>>>>> b\nvar y = = 2\n") == 5
+
+
+def test_repairs_of_long_sequences():
+    from tessera.llm.chart import Grammar, Repairs
+
+    grammar = Grammar("S -> E ;\nE -> E + T | T\nT -> i | (e)")
+    long = tuple("i + i i +".split() * 80)
+    assert Repairs(grammar).fewest("S", (*long, ";"))[0] == Repairs(grammar, full=1000).fewest("S", (*long, ";"))[0] == 81
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------
 def test_descriptions():
     good = ["// Rejects stale samplers.", "/** Walks the lane backwards.\n * @param x the lane */", "# 期限切れのリースを破棄し、残りを返す。", "Renvoie le premier segment encore valide.", "Returns the sum of both totals."]
