@@ -26,16 +26,34 @@ def corpus_stats(index: DataFrame) -> DataFrame:
     return index.select("doc_id", "dl").distinct().agg(F.count(F.lit(1)).alias("doc_count"), F.avg("dl").alias("avg_dl"))
 
 
+def asked_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The postings of the asked terms alone, and ``corpus_stats`` of all documents: the same hits for these terms as the whole index gives.
+
+    Each text is split once, within its row, and one row a document is kept; the postings of other words are never made. The terms are a stated, small set.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), X.words(F.col(text_col)).alias("terms")).crossJoin(F.broadcast(terms.agg(F.collect_set("term").alias("asked"))))  # one row
+    tf = lambda t: (F.size("terms") - F.size(F.array_remove("terms", t))).cast("bigint")
+    held = F.transform(F.array_intersect("terms", "asked"), lambda t: F.struct(t.alias("term"), tf(t).alias("tf")))
+    rows = cut(rows.select("doc_id", F.size("terms").alias("dl"), held.alias("held")))  # read for the hits and for the statistics
+    index = rows.select("doc_id", "dl", F.inline("held")).groupBy("doc_id", "term", "dl").agg(F.sum("tf").alias("tf"))
+    return index, corpus_stats(rows.filter("dl > 0"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(X.words(F.col("query"))).alias("term"))
 
 
-def bm25(index: DataFrame, terms: DataFrame, limit: int | None = 20) -> DataFrame:
-    """(query_id, doc_id, score, rank) by BM25; a term repeated in the query counts again, unknown ones count nothing."""
+def bm25(index: DataFrame, terms: DataFrame, limit: int | None = 20, stats: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank) by BM25; a term repeated in the query counts again, unknown ones count nothing.
+
+    ``stats`` are those of the whole corpus, where the index is ``asked_index``. Its terms are few and broadcast: else the planner, which takes
+    an index for small and queries for endless, may gather the index on the driver.
+    """
+    few = F.broadcast if stats is not None else lambda x: x
     weights = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    hits = index.join(weights, "term")
-    df = index.join(weights.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = hits.join(df, "term").crossJoin(F.broadcast(corpus_stats(index)))  # the statistics are one row
+    hits = index.join(few(weights), "term")
+    df = index.join(few(weights.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = hits.join(few(df), "term").crossJoin(F.broadcast(corpus_stats(index) if stats is None else stats))  # the statistics are one row
     idf = F.log((F.col("doc_count") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * idf * tf), 6).alias("score"))

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from tessera.operators import hierarchy as H
 from tessera.operators import packing as P
 from tessera.operators import retrieval as R
 from tessera.operators import vectors as V
-from tessera.plans import graphs
+from tessera.plans import graphs, retrieval
 from tessera.sources import tables as T
 from tessera.streaming import watch
 
@@ -158,6 +159,42 @@ def test_fusion_is_symmetric(spark):
     assert one == two and max(one, key=lambda r: r[1])[0] == 11
 
 
+def test_asked_index_ranks_as_the_whole_index(spark):
+    df = docs(spark, "hello world hello", "one two three four five", None, "", "the a an is", "World, one WORLD world", "nothing of it").union(docs(spark, "hello one", "one two three five four"))  # two ids twice
+    asks = spark.createDataFrame([(1, "hello one hello"), (2, "world unheard"), (3, "the a"), (4, "")], "query_id int, query string")
+    for queries in (asks, asks.filter("query_id > 2")):
+        terms, whole = R.query_terms(queries), R.postings(df)
+        index, stats = R.asked_index(df, terms)
+        assert sorted(index.select("doc_id", "term", "dl", "tf").collect()) == sorted(whole.join(terms.select("term").distinct(), "term", "left_semi").select("doc_id", "term", "dl", "tf").collect())
+        assert stats.collect() == R.corpus_stats(whole).collect()
+        assert sorted(R.bm25(index, terms, 20, stats).collect()) == sorted(R.bm25(whole, terms).collect())
+
+
+def broadcast_rows(plan):
+    """The rows of each broadcast of a plan that has run."""
+    name, children = plan.getClass().getSimpleName(), plan.children()
+    if name == "BroadcastExchangeExec":
+        yield plan.metrics().apply("numOutputRows").value()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.child()] if name == "ReusedExchangeExec" else [children.apply(i) for i in range(children.size())]
+    for x in inner:
+        yield from broadcast_rows(x)
+
+
+def test_rrf_fuse_sends_no_postings_through_the_driver(spark, tmp_path):
+    random.seed(6)
+    words = [w for _, q in retrieval.ASKED for w in q.split()] + [f"w{i}" for i in range(40)]
+    day = lambda i: datetime(2025, 1, 1 + i % 5) if i % 9 else None
+    rows = [(i % 290, None if i % 13 == 0 else " ".join(random.choices(words, k=i % 40)), day(i)) for i in range(300)]  # nulls, ties and ids that come twice
+    spark.createDataFrame(rows, "doc_id long, text string, created_at timestamp_ntz").write.parquet(f"{tmp_path}/documents.parquet")
+    df = retrieval.rrf_fuse(spark, str(tmp_path))
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+    sent = list(broadcast_rows(df._jdf.queryExecution().executedPlan()))
+    assert sent and max(sent) <= R.query_terms(retrieval.asked(spark)).count()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.sql(f"select query_id, rank, doc_id, score from ({retrieval.SQL['rrf_fuse']})").fetchall())
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(
         X.split_identifier(F.lit("parseHTTPRequest")).alias("a"), X.fuzzy(F.lit("AUTH"), F.lit("auth")).alias("b"), X.similarity(F.lit("ab"), F.lit("cd")).alias("c"), X.directory_weight(F.lit("legacy/tests/a.ts")).alias("d"),
